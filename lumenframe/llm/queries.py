@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import conversations as conv
-from lumenframe.llm import eval_leaks, pair_defects, percentiles, tokenize_corpus
+from lumenframe.llm import eval_leaks, pair_defects, percentiles, site_lines, tokenize_corpus
 from lumenframe.session import table
 
 
@@ -26,6 +26,15 @@ def p3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.conversations(table(spark, sf_dir, "messages"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.boilerplate(table(spark, sf_dir, "doc_pages"), table(spark, sf_dir, "doc_files"))
+
+
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "doc_pages")
+    return site_lines.without_lines(pages, site_lines.boilerplate(pages, table(spark, sf_dir, "doc_files")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects.defective_pairs(table(spark, sf_dir, "redteam_results"))
 
@@ -44,7 +53,7 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eval_leaks.without_leaks(documents.select("doc_id", "source", "n_chars"), leaks)
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p3_found, p3_conversations, p5_found, p6_ids, p7_found, p7_clean)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p3_found, p3_conversations, p4_found, p4_clean, p5_found, p6_ids, p7_found, p7_clean)}
 
 #: One speaker a spelling; the characters that show nothing; times in milliseconds.
 _P3_ROWS = r"""
@@ -76,22 +85,42 @@ verdict AS (
   FROM names n LEFT JOIN judged j USING (session_id) LEFT JOIN missing m USING (session_id))
 """
 
+#: Lines by what is left of them, and those that stand in enough of their source's files.
+_P4_LINES = r"""
+owners AS (SELECT DISTINCT id AS doc_id, source FROM doc_files WHERE id IS NOT NULL),
+sizes AS (SELECT source, count(*) AS of_files FROM owners GROUP BY source),
+cut AS (
+  SELECT doc_id, page, generate_subscripts(parts, 1) AS line_no, unnest(parts) AS line
+  FROM (SELECT DISTINCT doc_id, page, string_split(text, chr(10)) AS parts FROM doc_pages WHERE text IS NOT NULL)),
+keyed AS (SELECT doc_id, page, line_no, trim(regexp_replace(lower(line), '[^\p{L}]+', ' ', 'g')) AS key FROM cut),
+long_lines AS (SELECT k.*, o.source FROM keyed k JOIN owners o USING (doc_id) WHERE key <> '' AND length(key) - length(replace(key, ' ', '')) >= 4),
+often AS (
+  SELECT l.source, l.key FROM (SELECT source, key, count(DISTINCT doc_id) AS files FROM long_lines GROUP BY ALL) l
+  JOIN sizes s ON l.source IS NOT DISTINCT FROM s.source WHERE l.files >= 5 AND l.files >= s.of_files * 0.1),
+lines AS (
+  SELECT DISTINCT l.doc_id, l.page, CAST(l.line_no AS INTEGER) AS line_no
+  FROM long_lines l JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.key = o.key)
+"""
+
 #: Words of both sides, and the runs of 12 (or the whole of a shorter item) that they share.
 _P7_PAIRS = r"""
 said AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}]', '', 'g')), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 asked AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
 parts AS (
-  SELECT item_id, least(len(w), 12) AS n, unnest(list_transform(generate_series(1, greatest(len(w) - 11, 1)), i -> array_to_string(list_slice(w, i, i + 11), ' '))) AS run
+  SELECT item_id, least(len(w), 12) AS n, unnest(list_transform(generate_series(1, greatest(len(w) - 11, 1)), lambda i: array_to_string(list_slice(w, i, i + 11), ' '))) AS run
   FROM asked WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT n FROM parts),
 runs AS (
-  SELECT doc_id, n, unnest(list_transform(generate_series(1, len(w) - n + 1), i -> array_to_string(list_slice(w, i, i + n - 1), ' '))) AS run
+  SELECT doc_id, n, unnest(list_transform(generate_series(1, len(w) - n + 1), lambda i: array_to_string(list_slice(w, i, i + n - 1), ' '))) AS run
   FROM said, sizes WHERE len(w) >= n),
 pairs AS (SELECT DISTINCT doc_id, item_id FROM runs JOIN parts USING (n, run))
 """
 
 ORACLES = {
     "p3_found": f"WITH {_P3_ROWS} SELECT session_id, reason FROM verdict WHERE reason IS NOT NULL",
+    "p4_found": f"WITH {_P4_LINES} SELECT doc_id, page, line_no FROM lines",
+    "p4_clean": f"""WITH {_P4_LINES} SELECT c.doc_id, c.page, string_agg(c.line, chr(10) ORDER BY c.line_no) FILTER (WHERE l.line_no IS NULL) AS text
+        FROM cut c LEFT JOIN lines l ON c.doc_id = l.doc_id AND c.page = l.page AND c.line_no = l.line_no GROUP BY c.doc_id, c.page""",
     "p7_found": f"WITH {_P7_PAIRS} SELECT doc_id, item_id FROM pairs",
     "p7_clean": f"WITH {_P7_PAIRS} SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM pairs)",
 }
