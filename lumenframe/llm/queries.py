@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import conversations as conv
-from lumenframe.llm import eval_leaks, pair_defects, percentiles, site_lines, tokenize_corpus
+from lumenframe.llm import eval_leaks, pair_defects, percentiles, site_lines, template_residue, tokenize_corpus
 from lumenframe.session import table
 
 
@@ -53,7 +53,16 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eval_leaks.without_leaks(documents.select("doc_id", "source", "n_chars"), leaks)
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p3_found, p3_conversations, p4_found, p4_clean, p5_found, p6_ids, p7_found, p7_clean)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_residue.residue(table(spark, sf_dir, "documents"))
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return documents.select("doc_id", "source", "n_chars").join(template_residue.residue(documents), "doc_id", "left_anti")
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p3_found, p3_conversations, p4_found, p4_clean, p5_found, p6_ids, p7_found, p7_clean, p8_found, p8_clean)}
 
 #: One speaker a spelling; the characters that show nothing; times in milliseconds.
 _P3_ROWS = r"""
