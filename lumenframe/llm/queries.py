@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import conversations as conv
-from lumenframe.llm import eval_leaks, pair_defects, percentiles, site_lines, template_residue, tokenize_corpus
+from lumenframe.llm import eval_leaks, pair_defects, percentiles, scan_noise, site_lines, template_residue, tokenize_corpus
 from lumenframe.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_noise.findings(table(spark, sf_dir, "doc_pages"), table(spark, sf_dir, "doc_files"))
+    return found.select("doc_id", "page", "line_no", "defect", "repaired").distinct()
+
+
+def p1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "doc_pages")
+    return scan_noise.repaired_pages(pages, scan_noise.findings(pages, table(spark, sf_dir, "doc_files")))
+
+
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and other percentiles of both times, a model and task type, per day and over all days."""
     rows = table(spark, sf_dir, "bench_results").select("rec_id", "routed_model", "task_type", F.to_date("ts").alias("day"), "latency_ms", "ttft_ms").distinct()
@@ -62,7 +72,7 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "source", "n_chars").join(template_residue.residue(documents), "doc_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p3_found, p3_conversations, p4_found, p4_clean, p5_found, p6_ids, p7_found, p7_clean, p8_found, p8_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p2_percentiles, p3_found, p3_conversations, p4_found, p4_clean, p5_found, p6_ids, p7_found, p7_clean, p8_found, p8_clean)}
 
 #: One speaker a spelling; the characters that show nothing; times in milliseconds.
 _P3_ROWS = r"""
