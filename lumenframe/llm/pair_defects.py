@@ -164,7 +164,7 @@ def open_at_end(text: str) -> str | None:
                 if '"' in stack:
                     while stack.pop() != '"':
                         pass
-                else:
+                elif line[m.end() : m.end() + 1].isalnum() and not line[: m.start()][-1:].isalnum():
                     stack.append('"')
             elif c in CLOSES:
                 if CLOSES[c] in stack:
