@@ -35,7 +35,7 @@ def text_pages(found: DataFrame) -> DataFrame:
     """Plain-text and markdown files as one page each: ``doc_id`` (the path), ``page``, ``text``, ``suffix``; bytes that are
     no UTF-8 become replacement characters."""
     rows = found.where(F.col("suffix").isin(".txt", ".md"))
-    return rows.select(F.col("path").alias("doc_id"), F.lit(1).alias("page"), F.decode("content", F.lit("UTF-8")).alias("text"), "suffix")
+    return rows.select(F.col("path").alias("doc_id"), F.lit(1).alias("page"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), "suffix")
 
 
 def csv_tables(spark: SparkSession, folder: str) -> DataFrame:
