@@ -40,7 +40,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
-    wanted = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    wanted = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
     context.setCheckpointDir(wanted)
     return wanted
 
