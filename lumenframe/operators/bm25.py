@@ -7,24 +7,25 @@ from pyspark.sql import functions as F
 
 from lumenframe.config import LIMITS
 from lumenframe.functions import text as fx
+from lumenframe.session import spread
 
 
 def postings(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``id``, ``tok``, ``tf``: how often each token stands in each text."""
-    tokens = corpus.select(F.col(id_col).alias("id"), F.explode(fx.tokenize(F.col(text_col))).alias("tok"))
-    return tokens.groupBy("id", "tok").agg(F.count("*").alias("tf"))
+    # Two explodes keep single words out of the array functions. Nulls go here, so that no reader's join adds a filter of
+    # its own and all of them share one exchange.
+    texts = spread(corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    whole = texts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(fx.COMPOUND), 0)).alias("term"))
+    tokens = whole.where("id is not null and term is not null").select("id", F.explode(fx.compound_parts(F.col("term"))).alias("tok"))
+    return tokens.where("tok is not null").groupBy("id", "tok").agg(F.count("*").alias("tf"))
 
 
-def lengths(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``id``, ``dl``: tokens of each text; texts without tokens count nought."""
-    return corpus.select(F.col(id_col).alias("id"), F.size(fx.tokenize(F.coalesce(F.col(text_col), F.lit("")))).alias("dl"))
-
-
-def term_stats(posts: DataFrame, sizes: DataFrame) -> DataFrame:
+def term_stats(posts: DataFrame, corpus: DataFrame) -> DataFrame:
     """``tok``, ``df``, ``idf``, over the whole corpus. A term of more than half of the texts has a negative weight and
     takes a share of the mean weight of all terms instead."""
-    n = sizes.agg(F.count("*").alias("n_docs"))
-    stats = posts.groupBy("tok").agg(F.count("*").alias("df")).join(F.broadcast(n))
+    n = corpus.agg(F.count("*").alias("n_docs"))
+    # Asking for tf keeps the postings' exchange the same for all who use it, so that the texts are cut up once.
+    stats = posts.groupBy("tok").agg(F.count_if(F.col("tf") > 0).alias("df")).join(F.broadcast(n))
     raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     stats = stats.select("tok", "df", raw.alias("raw"))
     mean = stats.agg(F.avg("raw").alias("mean"))
@@ -45,9 +46,11 @@ def search(corpus: DataFrame, queries: DataFrame, id_col: str = "id", text_col:
     ranking; a query or corpus without tokens finds nothing.
     """
     asked = queries.select("query_id", F.explode(fx.tokenize(F.col("text"))).alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("asked"))
-    posts, sizes = postings(corpus, id_col, text_col), lengths(corpus, id_col, text_col)
-    average = sizes.agg(F.avg("dl").alias("avgdl"))
-    weights = term_stats(posts, sizes).join(asked, "tok")
+    posts = postings(corpus, id_col, text_col)
+    sizes = posts.groupBy("id").agg(F.sum("tf").alias("dl"))
+    # Texts without tokens have no postings, but count in the average length.
+    average = posts.agg(F.sum("tf").alias("all_tokens")).join(F.broadcast(corpus.agg(F.count("*").alias("n_docs")))).select((F.col("all_tokens") / F.col("n_docs")).alias("avgdl"))
+    weights = term_stats(posts, corpus).join(asked, "tok")
     # Only the postings of asked tokens meet the lengths.
     hits = posts.join(asked.select("tok").distinct(), "tok", "left_semi").join(sizes, "id").join(F.broadcast(average))
     k1, b = LIMITS.bm25_k1, LIMITS.bm25_b

@@ -529,7 +529,7 @@ def corpus(spark, d):
 @query(f"WITH {BM25} SELECT tok, df, round(idf, 9) AS idf FROM stats")
 def bm25_term_stats(spark, d):
     c = corpus(spark, d)
-    return bm25.term_stats(bm25.postings(c), bm25.lengths(c)).select("tok", "df", F.round("idf", 9).alias("idf"))
+    return bm25.term_stats(bm25.postings(c), c).select("tok", "df", F.round("idf", 9).alias("idf"))
 
 
 SPARSE = f"""{BM25}, q AS (SELECT query_id, tok, count(*) AS asked FROM (SELECT item_id AS query_id, unnest({TOKENS}) AS tok FROM eval_items WHERE item_id % 50 = 0) GROUP BY ALL),

@@ -33,6 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if its scan has fewer pieces than there are (one small file is one task, whatever its
+    text costs). Inputs of as many files or splits as cores, so all large ones, are left as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if max(len(df.inputFiles()), size // split) >= cores else df.repartition(cores)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder. The cluster names it in ``spark.checkpoint.dir``; only where neither that nor
     ``setCheckpointDir`` gave one (tests, a laptop) a temporary folder of this machine is set."""
