@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Width of a character and height of a line where a page is only text (points).
 CHAR_WIDTH, LINE_HEIGHT = 5.0, 12.0
-#: Least distance that begins a new column edge, least cells on an edge, least cells of a table row, least rows of a table.
-EDGE_GAP, EDGE_CELLS, ROW_CELLS, TABLE_ROWS = 6.0, 2, 3, 2
+#: Least distance that begins a new column edge, least cells on an edge, least cells of a table row, least rows of a table, least edges that they share.
+EDGE_GAP, EDGE_CELLS, ROW_CELLS, TABLE_ROWS, TABLE_EDGES = 6.0, 2, 3, 2, 3
 
 
 def cells(pages: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def cells(pages: DataFrame) -> DataFrame:
 
 def table_runs(placed: DataFrame) -> DataFrame:
     """``doc_id``, ``page``, ``table_no``, ``first_line``, ``last_line``, ``rows``: runs of at least two neighbouring lines
-    with at least three cells (islands of line numbers)."""
+    with at least three cells (islands of line numbers). Whether they share columns is for ``aligned_tables`` to tell."""
     wide = placed.groupBy("doc_id", "page", "line_no").agg(F.count("*").alias("n")).where(F.col("n") >= ROW_CELLS)
     w = Window.partitionBy("doc_id", "page").orderBy("line_no")
     runs = wide.withColumn("island", F.col("line_no") - F.row_number().over(w)).groupBy("doc_id", "page", "island")
@@ -34,6 +34,36 @@ def table_runs(placed: DataFrame) -> DataFrame:
     return runs.select("doc_id", "page", F.row_number().over(order).alias("table_no"), "first_line", "last_line", "rows")
 
 
+def wide_rows(placed: DataFrame) -> DataFrame:
+    """The cells of rows with at least three, with ``row_cells`` (their number) and ``island`` (equal in neighbouring rows)."""
+    wide = placed.withColumn("row_cells", F.count("*").over(Window.partitionBy("doc_id", "page", "line_no"))).where(F.col("row_cells") >= ROW_CELLS)
+    return wide.withColumn("island", F.col("line_no") - F.dense_rank().over(Window.partitionBy("doc_id", "page").orderBy("line_no")))
+
+
+def set_in_columns(placed: DataFrame) -> DataFrame:
+    """The cells of table rows placed anew for texts that keep two blanks of each gap, where the places are lost:
+    neighbouring rows with equally many cells are set in columns, each as wide as its longest cell."""
+    widest = F.max(F.length("text")).over(Window.partitionBy("doc_id", "page", "island", "row_cells", "cell_no"))
+    w = Window.partitionBy("doc_id", "page", "line_no").orderBy("cell_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = wide_rows(placed).withColumn("widest", widest).withColumn("used", F.coalesce(F.sum(F.col("widest") + 2).over(w), F.lit(0)))
+    x0 = F.col("used") * CHAR_WIDTH
+    return rows.select("doc_id", "page", "line_no", "cell_no", "text", x0.alias("x0"), (x0 + F.length("text") * CHAR_WIDTH).alias("x1"), "mid_y")
+
+
+def aligned_tables(placed: DataFrame) -> DataFrame:
+    """``table_runs`` whose own rows share at least three column edges, so that a stack of sentences with wide gaps is no
+    table. Edges are found as in ``column_edges``, but within each run."""
+    run = ["doc_id", "page", "island"]
+    w = Window.partitionBy(*run).orderBy("x0")
+    apart = F.coalesce((F.col("x0") - F.lag("x0").over(w) > EDGE_GAP).cast("int"), F.lit(0))
+    grouped = wide_rows(placed).withColumn("apart", apart).withColumn("edge", F.sum("apart").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    edges = grouped.groupBy(*run, "edge").agg(F.count("*").alias("n"), F.min("line_no").alias("first"), F.max("line_no").alias("last"))
+    runs = edges.groupBy(*run).agg(F.min("first").alias("first_line"), F.max("last").alias("last_line"), F.count_if(F.col("n") >= EDGE_CELLS).alias("shared"))
+    runs = runs.withColumn("rows", (F.col("last_line") - F.col("first_line") + 1).cast("long")).where((F.col("rows") >= TABLE_ROWS) & (F.col("shared") >= TABLE_EDGES))
+    order = Window.partitionBy("doc_id", "page").orderBy("first_line")
+    return runs.select("doc_id", "page", F.row_number().over(order).alias("table_no"), "first_line", "last_line", "rows")
+
+
 def column_edges(placed: DataFrame) -> DataFrame:
     """``doc_id``, ``page``, ``edge_no``, ``x``, ``n``: where cells of table rows begin; starts less than EDGE_GAP apart
     are one edge, at their mean; edges with a single cell go."""

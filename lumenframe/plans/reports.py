@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import text as fx
 from lumenframe.operators import events, layout, store
-from lumenframe.queries import CELLS, ORDER, RUNS, STEPS, page_cells, query, session_steps
+from lumenframe.queries import ALIGNED, CELLS, ORACLES, ORDER, RUNS, STEPS, page_cells, query, session_steps
 from lumenframe.session import table
 
 #: Fixed value: tokens of one reading of a document.
@@ -89,7 +89,18 @@ def slot_matches(spark, d):
 def lines_in_tables(spark, d):
     """Lines of each page, and those whose centre lies inside a table's box."""
     placed = page_cells(spark, d)
-    boxes = layout.table_runs(placed).select("doc_id", "page", "first_line", "last_line")
+    return lines_inside(placed, layout.table_runs(placed))
+
+
+@query(ORACLES["lines_in_tables"].replace(RUNS, ALIGNED))
+def lines_in_aligned_tables(spark, d):
+    """The same for tables whose rows share columns."""
+    placed = page_cells(spark, d)
+    return lines_inside(placed, layout.aligned_tables(layout.set_in_columns(placed)))
+
+
+def lines_inside(placed, runs):
+    boxes = runs.select("doc_id", "page", "first_line", "last_line")
     held = boxes.groupBy("doc_id", "page").agg(F.collect_list(F.struct((F.col("first_line") * layout.LINE_HEIGHT - 2).alias("top"), (F.col("last_line") * layout.LINE_HEIGHT + 2).alias("bottom"))).alias("boxes"))
     lines = placed.groupBy("doc_id", "page", "line_no").agg(F.first("mid_y").alias("mid_y")).join(held, ["doc_id", "page"], "left")
     inside = F.coalesce(F.exists("boxes", lambda b: (F.col("mid_y") >= b["top"]) & (F.col("mid_y") <= b["bottom"])), F.lit(False))

@@ -472,12 +472,36 @@ def reading_rows(spark, d):
     SELECT h.doc_id, h.page, h.table_no, b.block, b.first_row, b.last_row, h.n AS rows, h.h || chr(10) || b.b || CASE WHEN h.n > 40 THEN printf('%s(rows %d-%d of %d)', chr(10), b.first_row, b.last_row, h.n) ELSE '' END AS text FROM head h JOIN body b USING (doc_id, page, table_no)""")
 def table_markdown(spark, d):
     placed = page_cells(spark, d)
-    runs = layout.table_runs(placed)
+    return markdown_of(placed, layout.table_runs(placed))
+
+
+def markdown_of(placed, runs):
     inside = placed.join(runs, ["doc_id", "page"]).where("line_no between first_line and last_line")
     rows = inside.groupBy("doc_id", "page", "table_no", F.col("line_no").alias("row_no")).agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_no", "text"))), lambda c: c["text"]).alias("cells"))
     return bx.markdown_tables(rows, ["doc_id", "page", "table_no"])
 
 
+ALIGNED = f"""{CELLS}, wide AS (SELECT *, line_no - dense_rank() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS island FROM cells WHERE row_cells >= 3),
+widths AS (SELECT *, max(length(text)) OVER (PARTITION BY doc_id, page, island, row_cells, cell_no) AS widest FROM wide),
+spots AS (SELECT *, coalesce(sum(widest + 2) OVER (PARTITION BY doc_id, page, line_no ORDER BY cell_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 5.0 AS x0 FROM widths),
+gaps AS (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY doc_id, page, island ORDER BY x0) > 6.0 THEN 1 ELSE 0 END AS apart FROM spots),
+numbered AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, page, island ORDER BY x0 RANGE UNBOUNDED PRECEDING) AS edge FROM gaps),
+shared AS (SELECT doc_id, page, island FROM (SELECT doc_id, page, island, edge FROM numbered GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL HAVING count(*) >= 3),
+runs AS (SELECT doc_id, page, min(line_no) AS first_line, max(line_no) AS last_line, count(DISTINCT line_no) AS rows FROM wide JOIN shared USING (doc_id, page, island) GROUP BY doc_id, page, island HAVING count(DISTINCT line_no) >= 2),
+tables AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY first_line) AS table_no, first_line, last_line, rows FROM runs)"""
+
+
+@query(f"WITH {ALIGNED} SELECT * FROM tables")
+def aligned_tables(spark, d):
+    return layout.aligned_tables(layout.set_in_columns(page_cells(spark, d)))
+
+
+@query(ORACLES["table_markdown"].replace(RUNS, ALIGNED))
+def aligned_table_markdown(spark, d):
+    placed = page_cells(spark, d)
+    return markdown_of(placed, layout.aligned_tables(layout.set_in_columns(placed)))
+
+
 def page_blocks(spark, d) -> DataFrame:
     """Pages as blocks: paragraphs between blank lines, headings where a paragraph's first line looks like one."""
     pages = table(spark, d, "doc_pages").where("text is not null").select("doc_id", "page", "text", "mean_conf").distinct()

@@ -180,6 +180,21 @@ def test_layout_rows_join_by_first_cell(spark):
     assert [r["text"] for r in rows] == ["a b", "c"]
 
 
+def test_tables_share_three_edges(spark):
+    spots = {1: (0, 50, 100), 2: (1, 52, 99), 4: (0, 50, 100), 5: (20, 70, 130), 7: (0, 50, 100), 8: (0, 50, 130)}
+    rows = [("d", 1, line, k, "t", float(x), float(x + 5), line * 12.0) for line, xs in spots.items() for k, x in enumerate(xs)]
+    placed = spark.createDataFrame(rows, "doc_id string, page int, line_no int, cell_no int, text string, x0 double, x1 double, mid_y double")
+    assert sorted((r["first_line"], r["last_line"]) for r in layout.table_runs(placed).collect()) == [(1, 2), (4, 5), (7, 8)]
+    assert [(r["table_no"], r["first_line"], r["last_line"], r["rows"]) for r in layout.aligned_tables(placed).collect()] == [(1, 1, 2, 2)]
+
+
+def test_unaligned_texts_of_tables_stay_tables(spark):
+    table = "CML-22  thrust bearing  40.0  200  Nil\nCML-20  bottom head  20.2  12.1  Acceptable"
+    prose = "Rate  our  answer  on  a  scale  of  5003  to  815  stars (3)\nSOP-2025-9339   EXTERNAL INSPECTION REPORT   Page 6 of 8"
+    pages = spark.createDataFrame([("t", 1, table), ("p", 1, prose)], "doc_id string, page int, text string")
+    assert [r["doc_id"] for r in layout.aligned_tables(layout.set_in_columns(layout.cells(pages))).collect()] == ["t"]
+
+
 def test_readers_and_sinks(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
