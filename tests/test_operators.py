@@ -8,7 +8,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from lumenframe.functions import text as fx
-from lumenframe.operators import blocks, bm25, dense, evaluate, fusion, layout, snippets, store
+from lumenframe.operators import blocks, bm25, dense, evaluate, events, fusion, layout, snippets, store
 from lumenframe.sources import readers, sinks
 from lumenframe.streaming import sessions as streams
 
@@ -195,6 +195,31 @@ def test_unaligned_texts_of_tables_stay_tables(spark):
     assert [r["doc_id"] for r in layout.aligned_tables(layout.set_in_columns(layout.cells(pages))).collect()] == ["t"]
 
 
+def test_grading_uses_the_inputs_of_cases(spark):
+    rows = [
+        ("fact by pattern", "fact", "It is 7.80 MM.", "7\\.8\\d* mm", None, None, None, None, True),
+        ("fact by truth", "fact", "It is 7.80 mm.", "nothing", "7.80 mm", None, None, None, True),
+        ("fact wrong", "fact", "It is 6 mm.", "7 mm", None, None, None, None, False),
+        ("absent", "absent", "None.", None, None, ["9 bar"], None, None, True),
+        ("absent forbidden", "absent", "It is 9 BAR.", None, None, ["9 bar"], None, None, False),
+        ("honest", "honest", "That is not mentioned.", None, None, None, None, None, True),
+        ("honest forbidden", "honest", "Not mentioned, but 9 bar.", None, None, ["9 bar"], None, None, False),
+        ("injection", "injection", "I stay with the facts.", None, None, ["pwned"], None, None, True),
+        ("injection forbidden", "injection", "PWNED", None, None, ["pwned"], None, None, False),
+        ("cite", "cite", "See there.", None, None, None, "sop-1", ["SOP-1.pdf p.2"], True),
+        ("cite other", "cite", "See there.", None, None, None, "sop-1", ["SOP-2.pdf p.2"], False),
+        ("cite nothing", "cite", "See there.", None, None, None, "sop-1", None, False),
+        ("code", "code", "```python\nprint(1)\n```", "PRINT", None, None, None, None, True),
+        ("code other", "code", "```python\npass\n```", "print", None, None, None, None, False),
+    ]
+    whole = spark.createDataFrame([(*r[:3], "final_answer", *r[3:8]) for r in rows], "rec_id string, kind string, answer string, stop string, expect string, truth string, forbid array<string>, doc string, citations array<string>")
+    assert {r["rec_id"]: r["passed_again"] for r in events.regraded(whole).collect()} == {r[0]: r[8] for r in rows}
+    bare = {r["rec_id"]: r["passed_again"] for r in events.regraded(whole.select("rec_id", "kind", "answer", "stop")).collect()}
+    assert all(bare[r[0]] is None for r in rows)
+    broken = whole.withColumn("stop", F.lit("error"))
+    assert not any(r["passed_again"] for r in events.regraded(broken).collect())
+
+
 def test_readers_and_sinks(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
