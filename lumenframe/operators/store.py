@@ -27,33 +27,38 @@ def last_n(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).drop("place")
 
 
-def spans(name: Column) -> Column:
-    """Every run of whole words of a file name, as it stands there: structs of ``start`` (0: the name's beginning) and
-    ``text``, lower case. Names have few words, so their runs are few."""
-    words = F.regexp_extract_all(F.lower(name), F.lit("[a-z0-9]+[^a-z0-9]*"), 0)
-    n = F.size(words)
-    ends = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.greatest(n - i + 1, F.lit(1))), lambda k: F.struct((i - 1).alias("start"), F.regexp_replace(F.array_join(F.slice(words, i, k), ""), "[^a-z0-9]+$", "").alias("text")))))
-    return F.when(n > 0, ends)
+def pieces(name: Column, n: int) -> Column:
+    """The different pieces of ``n`` characters of a name."""
+    last = F.length(name) - n + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(name, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
 def resolve(names: DataFrame, files: DataFrame) -> DataFrame:
-    """``name``, ``id``, ``filename``, ``tier`` of the file that each name means: by exact id (1), exact file name (2), the
-    words that a file name begins with (3) or holds (4), case aside; the first tier that finds any, within it the latest
-    ingested file, then the first id. All tiers are equi-joins. Characters that are wildcards elsewhere are plain ones;
-    null names find nothing.
+    """``name``, ``id``, ``filename``, ``tier`` of the file that each name means: by exact id (1), exact file name (2), what
+    a file name begins with (3) or holds (4), case aside, words or parts of them; the first tier that finds any, within it
+    the latest ingested file, then the first id. All tiers are equi-joins: a name joins by the trigram that the fewest file
+    names hold and is then compared, a name of one or two characters by itself. Characters that are wildcards elsewhere
+    are plain ones; null names find nothing.
     """
     names = names.select("name").where("name is not null").distinct()
     files = latest(files.select("id", "filename", "ingested_at"), ["id"], ["ingested_at"])
     by_id = files.select(F.col("id").alias("key"), "id", "filename", "ingested_at", F.lit(1).alias("tier"))
     by_name = files.select(F.col("filename").alias("key"), "id", "filename", "ingested_at", F.lit(2).alias("tier"))
     exact = names.join(by_id.unionByName(by_name), F.col("name") == F.col("key"))
-    held = files.select("id", "filename", "ingested_at", F.explode(spans(F.col("filename"))).alias("span"))
-    # Of each run of words only the best file can win, so a run that thousands of files share joins one row.
-    best = F.min(F.struct(F.when(F.col("span.start") == 0, 3).otherwise(4).alias("tier"), (-F.col("ingested_at")).alias("age"), "id", "filename")).alias("best")
-    part = held.groupBy(F.col("span.text").alias("key")).agg(best).select("key", "best.*")
-    words = F.regexp_replace(F.lower(F.col("name")), "^[^a-z0-9]+|[^a-z0-9]+$", "")
-    by_words = names.withColumn("key", words).join(part, "key").select("name", "tier", "age", "id", "filename")
-    found = exact.select("name", "tier", (-F.col("ingested_at")).alias("age"), "id", "filename").unionByName(by_words)
+    # Of equal file names only the best file can win; of a short piece that thousands of files hold, too.
+    age = F.min(F.struct((-F.col("ingested_at")).alias("age"), "id", "filename")).alias("best")
+    held = files.where("filename is not null").groupBy(F.lower("filename").alias("low")).agg(age).select("low", "best.*")
+    asked = names.withColumn("key", F.lower("name"))
+    short = F.concat(F.array(F.lit("")), pieces(F.col("low"), 1), pieces(F.col("low"), 2))
+    tier = lambda piece: F.when(F.startswith(F.col("low"), piece), 3).otherwise(4).alias("tier")
+    shorts = held.select("*", F.explode(short).alias("key")).groupBy("key").agg(F.min(F.struct(tier(F.col("key")), "age", "id", "filename")).alias("best"))
+    by_short = asked.join(shorts.select("key", "best.*"), "key").select("name", "tier", "age", "id", "filename")
+    grams = held.select("*", F.explode(pieces(F.col("low"), 3)).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.select("name", "key", F.explode(pieces(F.col("key"), 3)).alias("gram")).join(counts, "gram")
+    rarest = rarest.groupBy("name", "key").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    by_part = rarest.join(grams, "gram").where(F.contains(F.col("low"), F.col("key"))).select("name", tier(F.col("key")), "age", "id", "filename")
+    found = exact.select("name", "tier", (-F.col("ingested_at")).alias("age"), "id", "filename").unionByName(by_short).unionByName(by_part)
     top = F.min(F.struct("tier", "age", "id", "filename")).alias("top")
     return found.groupBy("name").agg(top).select("name", "top.id", "top.filename", "top.tier")
 

@@ -219,6 +219,19 @@ def name_resolution(spark, d):
     return store.resolve(names, table(spark, d, "doc_files"))
 
 
+@query(r"""WITH c AS (SELECT DISTINCT filename FROM chunks), names AS (SELECT left(filename, 11) AS name FROM c UNION SELECT substr(filename, 3, 9) FROM c UNION SELECT substr(upper(filename), 12, 8) FROM c UNION SELECT left(filename, 2) FROM c UNION SELECT substr(filename, 6, 1) FROM c),
+    f AS (SELECT id, filename, ingested_at FROM doc_files QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC, filename DESC) = 1),
+    t AS (SELECT n.name, f.*, 1 AS tier FROM names n JOIN f ON f.id = n.name UNION ALL SELECT n.name, f.*, 2 FROM names n JOIN f ON f.filename = n.name
+      UNION ALL SELECT n.name, f.*, CASE WHEN starts_with(lower(f.filename), lower(n.name)) THEN 3 ELSE 4 END FROM names n JOIN f ON contains(lower(f.filename), lower(n.name)))
+    SELECT name, id, filename, tier FROM t QUALIFY row_number() OVER (PARTITION BY name ORDER BY tier, ingested_at DESC, id) = 1""")
+def cut_name_resolution(spark, d):
+    """Names cut inside words, and of one or two characters."""
+    name = F.col("filename")
+    cut = [F.left(name, F.lit(11)), F.substring(name, 3, 9), F.substring(F.upper(name), 12, 8), F.left(name, F.lit(2)), F.substring(name, 6, 1)]
+    names = table(spark, d, "chunks").select("filename").distinct().select(F.explode(F.array(*cut)).alias("name"))
+    return store.resolve(names, table(spark, d, "doc_files"))
+
+
 @query("""WITH r AS (SELECT DISTINCT rec_id, routed_model, latency_ms FROM bench_results WHERE routed_model IS NOT NULL AND latency_ms >= 0)
     SELECT routed_model, CAST(greatest(1, round_even(avg(latency_ms / 1000.0), 0)) AS BIGINT) AS seconds FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY routed_model ORDER BY rec_id DESC) <= 3) GROUP BY 1""")
 def last_three_mean(spark, d):

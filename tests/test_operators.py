@@ -150,6 +150,13 @@ def test_resolution_tiers(spark):
     assert got == {"f2": ("f2", 1), "QTN-2024-1.pdf": ("f1", 2), "qtn-2024": ("f2", 3), "2024-10": ("f2", 4)}
 
 
+def test_names_may_end_inside_words(spark):
+    files = spark.createDataFrame([("f1", "QTN-2023-5076-isolation.pdf", 1), ("f2", "MEMO-2024-1-isolation.pdf", 5), ("f3", "a_100%.txt", 2)], "id string, filename string, ingested_at long")
+    names = spark.createDataFrame([("QTN-2023-50",), ("isolat",), ("solation.P",), ("-5",), ("q",), ("0%",), ("isolated",), ("_%",), ("",)], "name string")
+    got = {r["name"]: (r["id"], r["tier"]) for r in store.resolve(names, files).collect()}
+    assert got == {"QTN-2023-50": ("f1", 3), "isolat": ("f2", 4), "solation.P": ("f2", 4), "-5": ("f1", 4), "q": ("f1", 3), "0%": ("f3", 4), "": ("f2", 3)}
+
+
 def test_first_hits_and_summary(spark):
     questions = spark.createDataFrame([(1, "a.pdf", 3, "x"), (2, "b.pdf", 1, "x"), (3, "c.pdf", 1, "y")], "query_id long, expected_doc string, expected_page int, kind string")
     hits = spark.createDataFrame([(1, 1, "z.pdf", 3, 3), (1, 2, "a.pdf", 2, 4), (1, 3, "a.pdf", 3, None), (2, 1, "b.pdf", 1, 1)], "query_id long, rank int, filename string, page int, page_end int")
