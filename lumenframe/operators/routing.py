@@ -11,13 +11,21 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that a classifier is fitted on at most (a documented bound; all rows are then classified).
 FIT_ROWS = 20_000
+#: Bits of a hash that tell its range.
+RANGE_BITS = 12
 
 
 def split(labelled: DataFrame, label: str, key: str, share: float = 0.2) -> DataFrame:
     """``labelled`` with ``held_out``: a fixed share of each label's rows, chosen by a hash of the key."""
-    w = Window.partitionBy(label)
-    order = F.percent_rank().over(w.orderBy(F.xxhash64(key), key))
-    return labelled.withColumn("held_out", order < share)
+    # Ranks are those of one window a label, but counted over ranges of hashes, so that no label is sorted in one task.
+    ranged = labelled.withColumn("hashed", F.xxhash64(key)).withColumn("range", F.shiftright("hashed", 64 - RANGE_BITS))
+    counts = ranged.groupBy(F.col(label).alias("of"), F.col("range").alias("at")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("of")
+    before = F.coalesce(F.sum("n").over(w.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("of", "at", before.alias("before"), F.sum("n").over(w).alias("all"))
+    joined = ranged.join(counts, F.col(label).eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
+    place = F.col("before") + F.rank().over(Window.partitionBy(label, "range").orderBy("hashed", key)) - 1
+    return joined.withColumn("held_out", place / F.greatest(F.col("all") - 1, F.lit(1)) < share).select(*labelled.columns, "held_out")
 
 
 def pipeline(text: str, label: str, features: int = 1 << 14) -> Pipeline:
@@ -60,4 +68,4 @@ def cheapest_capable(needs: DataFrame, models: DataFrame) -> DataFrame:
     listed = needs.select("need").distinct().join(held, "need", "left").groupBy("need")
     order = F.array_sort(F.collect_list(F.when(F.col("model_id").isNotNull(), F.struct("size_mb", "model_id"))))
     ids = listed.agg(F.transform(order, lambda m: m["model_id"]).alias("ids"))
-    return ids.select("need", F.get("ids", 0).alias("model_id"), F.slice("ids", 2, 99).alias("alternatives"))
+    return ids.select("need", F.get("ids", 0).alias("model_id"), F.slice("ids", F.lit(2), F.size("ids")).alias("alternatives"))

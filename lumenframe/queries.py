@@ -697,6 +697,15 @@ def routing_accuracy(spark, d):
     return told.groupBy("task_type").agg(F.count("*").alias("n"), F.round(F.avg((F.col("predicted") == F.col("task_type")).cast("double")), 4).alias("accuracy"), F.round(F.avg("confidence"), 4).alias("confidence"))
 
 
+@query()
+def classified_sessions(spark, d):
+    """Every session, labelled or not, with the task type that its title suggests."""
+    rows = table(spark, d, "sessions").select("session_id", F.coalesce("title", F.lit("")).alias("title"), "task_type")
+    model = routing.fit(rows.where("task_type is not null and title <> ''"), "title", "task_type", "session_id")
+    told = routing.classify(model, rows.withColumn("given", F.col("task_type")), "task_type")
+    return told.select("session_id", F.col("given").alias("task_type"), "predicted", "confidence")
+
+
 @query(f"""WITH {ONCE}, m AS (SELECT routed_model AS model_id, CAST(median(tokens_in) AS BIGINT) AS size_mb FROM once WHERE routed_model IS NOT NULL GROUP BY 1), c AS (SELECT routed_model AS model_id, task_type AS need FROM once WHERE task_type IS NOT NULL AND routed_model IS NOT NULL GROUP BY ALL HAVING avg(CAST(success AS DOUBLE)) >= 0.5),
     needs AS (SELECT DISTINCT task_type AS need FROM once WHERE task_type IS NOT NULL), l AS (SELECT need, list(model_id ORDER BY size_mb, model_id) FILTER (WHERE model_id IS NOT NULL) AS ids FROM needs LEFT JOIN (SELECT * FROM c JOIN m USING (model_id)) USING (need) GROUP BY 1)
     SELECT need, ids[1] AS model_id, array_to_string(coalesce(ids[2:], []), ',') AS alternatives FROM l""")

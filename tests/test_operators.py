@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import zipfile
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import text as fx
-from lumenframe.operators import blocks, bm25, dense, evaluate, events, fusion, layout, snippets, store
+from lumenframe.operators import blocks, bm25, dense, evaluate, events, fusion, layout, routing, snippets, store
 from lumenframe.sources import readers, sinks
 from lumenframe.streaming import sessions as streams
 
@@ -227,6 +228,32 @@ def test_grading_uses_the_inputs_of_cases(spark):
     assert not any(r["passed_again"] for r in events.regraded(broken).collect())
 
 
+def test_all_alternatives_stay(spark):
+    models = spark.createDataFrame([(f"m{i:03}", i, ["chat"]) for i in range(130)], "model_id string, size_mb long, capabilities array<string>")
+    needs = spark.createDataFrame([("chat",), ("none",)], "need string")
+    got = {r["need"]: (r["model_id"], len(r["alternatives"])) for r in routing.cheapest_capable(needs, models).collect()}
+    assert got == {"chat": ("m000", 129), "none": (None, 0)}
+
+
+def test_held_out_share_of_each_label(spark):
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("k"), F.when(F.col("id") == 0, "one").when(F.col("id") % 7 == 0, None).when(F.col("id") % 3 == 0, "a").otherwise("b").alias("label"))
+    w = Window.partitionBy("label").orderBy(F.xxhash64("k"), "k")
+    want = {r["k"]: r["o"] for r in rows.select("k", (F.percent_rank().over(w) < 0.2).alias("o")).collect()}
+    split = routing.split(rows, "label", "k")
+    assert {r["k"]: r["held_out"] for r in split.collect()} == want
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "percent_rank" not in plan
+
+
+def test_every_session_is_classified(spark, tmp_path):
+    from lumenframe import queries
+
+    sessions = [(f"s{i}", ("plot the curve", "write a letter")[i % 2], ("chart", "text")[i % 2]) for i in range(20)] + [("open", "plot a curve", None), ("blank", None, None)]
+    spark.createDataFrame(sessions, "session_id string, title string, task_type string").write.parquet(str(tmp_path / "sessions.parquet"))
+    got = {r["session_id"]: (r["task_type"], r["predicted"]) for r in queries.QUERIES["classified_sessions"](spark, str(tmp_path)).collect()}
+    assert len(got) == 22 and got["open"] == (None, "chart") and got["blank"][1] is not None
+
+
 def test_readers_and_sinks(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
