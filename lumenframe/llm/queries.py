@@ -63,16 +63,22 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eval_leaks.without_leaks(documents.select("doc_id", "source", "n_chars"), leaks)
 
 
+def p7_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p7_clean`` with all columns of its documents."""
+    documents = table(spark, sf_dir, "documents")
+    return eval_leaks.without_leaks(documents, eval_leaks.leaked_passages(documents, table(spark, sf_dir, "eval_items")))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_residue.residue(table(spark, sf_dir, "documents"))
 
 
 def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return documents.select("doc_id", "source", "n_chars").join(template_residue.residue(documents), "doc_id", "left_anti")
+    return documents.join(template_residue.residue(documents), "doc_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p2_percentiles, p3_found, p3_conversations, p4_found, p4_clean, p5_found, p6_ids, p7_found, p7_clean, p8_found, p8_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p2_percentiles, p3_found, p3_conversations, p4_found, p4_clean, p5_found, p6_ids, p7_found, p7_clean, p7_clean_documents, p8_found, p8_clean)}
 
 #: One speaker a spelling; the characters that show nothing; times in milliseconds.
 _P3_ROWS = r"""

@@ -26,3 +26,10 @@ def test_against_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_gives_rows(spark, name):
     assert queries.QUERIES[name](spark, FOLDER).count() >= 0
+
+
+@pytest.mark.parametrize("name", ["p7_clean_documents", "p8_clean"])
+def test_clean_corpora_keep_all_columns(spark, name):
+    df = queries.QUERIES[name](spark, FOLDER)
+    assert set(df.columns) == set(spark.read.parquet(f"{FOLDER}/documents.parquet").columns)
+    assert df.where("text is not null").count() > 0
