@@ -3,8 +3,8 @@
 Method: refusal grammars and null markers are patterns of the plan itself; a pushdown parser over fences, brackets,
 quotations, lists and markup finds answers that break off; greedy string tiling of the answer with the prompt finds
 answers that only give back the question; script and function-word checks find answers in another language. Whether a
-list item is whole is decided by statistics of all answers: does its last word usually go on, or is it the beginning of
-a longer word?
+list item or an unpunctuated phrase is whole is decided by its last word and by statistics of all answers: does the word
+usually go on, or is it the beginning of a longer word? Every answer is examined once, in one Arrow pass.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenframe.session import cut
+
 #: Answers that stand for no answer.
 NULL_MARKERS = ("none", "null", "nil", "nan", "na", "n/a", "n.a", "undefined", "empty", "no answer", "no response", "keine antwort", "sans réponse", "sin respuesta")
-#: Words of an unpunctuated answer from which on it counts as a sentence that breaks off.
+#: Words of an unpunctuated answer from which on it counts as a sentence even without a word that tells one.
 SENTENCE_WORDS = 6
 #: Least words of a tile, share of the prompt that the tiles must cover, and words that the answer may add.
 TILE_WORDS, COPIED_SHARE, ADDED_WORDS = 3, 0.8, 3
@@ -45,19 +47,76 @@ REFUSALS = (
     r"\b(?:me niego|tengo prohibido|se me prohíbe|debo rechazar|rechazo)\b",
 )
 
+#: What a sentence of a refusal has of its speaker, regret, limit and demand, whatever its wording (lower case, straight
+#: apostrophes), and what only a report of missing documents has.
+SELF = r"\b(?:i|me|my|we|us|our|myself|as an? (?:ai|assistant|model)|this assistant)\b"
+REGRET = r"\b(?:sorry|apolog\w+|afraid|unfortunately|regret\w*|forgive|pardon|thank you for (?:asking|understanding))\b"
+LIMIT = r"\b(?:not|cannot|never|no|nothing|neither|nor|unable|refus\w+|declin\w+|unwilling|\w+n't)\b"
+BARRED = (
+    r"(?:\b(?:off the table|off[- ]limits|out of bounds|out of scope|no[- ]go|hands are tied|draw the line|steer clear|stay away|stay out|sit this one out|hold back)\b|"
+    r"\b(?:have|has|need|going|prefer|choose|will|must|would|shall|may|can only|'ll|'d)(?: \w+){0,3}? (?:pass\b|abstain|refrain|say no|leave\b.{0,40}\b(?:unanswered|aside|alone|there|be)\b|leave (?:this|that|it)\b|turn\b.{0,40}\bdown|skip)|"
+    r"(?:\bnot|n't|\bnever|\brather not|\bunable to|\bunwilling to|\buncomfortable)(?: \w+){0,3}? (?:comfortable|go there|get into|go into|take part|taking part|able to|allowed|permitted|authori[sz]ed|willing|free to|right for (?:me|us)|in a position|something (?:i|we)|go along|be (?:able|part|doing|answering|helping)|help|assist|answer|discuss|engag|touch|weigh in|speak|say|share|provid|do (?:this|that|it|so)|fulfil|oblige|entertain|comment|talking)|"
+    r"\b(?:beyond|outside|against|violates?|conflicts? with|contrary to) (?:of )?(?:what (?:i|we)|my|our)\b|"
+    r"\b(?:forbidden|prohibited|barred|restricted|prevented) (?:from|to)\b|\b(?:prevents?|keeps?|stops?|bars?|forbids?) (?:me|us)\b|\b(?:do(?:es)? not|do(?:es)?n't|will not|won't|cannot|can't) (?:allow|permit|let) (?:me|us)\b)"
+)
+ABSENT = r"\b(?:find|found|mention\w*|entry|entries|contain\w*|record\w*|index\w*|corpus|files?|documents?|store|cover\w*|listed|state[sd]?|specif\w+|available|information|data|sources?|search\w*|match\w*|see)\b"
+MISSING = r"\b(?:find|found|mention\w*|entry|entries|contain\w*|record\w*|index\w*|corpus|match\w*)\b"
+#: A word of a grammar stands in every refusal; texts without any of these pieces are none.
+HINTS = (
+    "not", "n't", "n’t", "unable", "declin", "refus", "against", "outside", "beyond", "sorry", "afraid", "apolog", "unfortunately", "regret", "no ", "nothing", "off", "pass", "abstain", "refrain",
+    "nicht", "kein", "lehne", "verweiger", "untersagt", "verboten", "ne ", "interdit", "défendu", "impossible", "refuse", "décline", "droit", "niego", "prohíb", "prohibido", "rechaz", "forbid", "prohibit", "barred", "prevent", "tied", "steer", "stay",
+)
+
 #: Fixed function words by language.
 FUNCTION_WORDS = {
-    "en": "the of and to in is was for on with that it at by an be may are not has this from after before which when what who how".split(),
-    "de": "der die das und den dem des ein eine im am an zu ist wurde wird nicht mit von bei nach wegen um muss auf für durch sich noch keine beim vom".split(),
-    "fr": "le la les de du des et un une au aux est été sur pour dans par à cause il faut qui que ne pas d'après comme ce cette son prochain dernier".split(),
-    "es": "el la los las de del y un una en es se fue para por con que no al según debe era demasiado porque está lo su como próxima último".split(),
+    "en": "the of and to in is was for on with that it at by an be may are not has this from after before which when what who how been were will must can should have had its their they there you your we i as or if no yes than then into about because".split(),
+    "de": "der die das und den dem des ein eine einer einem im am an zu zur zum ist sind wurde wurden wird werden nicht mit von bei nach wegen um muss auf für durch sich noch keine kein beim vom als auch aus über ich sie wir er es war hat haben kann weil aber oder wenn dass".split(),
+    "fr": "le la les de du des et un une au aux est été sont sur pour dans par à cause il elle ils faut qui que ne pas d'après comme ce cette son sa ses prochain dernier avec sans encore plus nous vous je mais ou où doit peut être était avant après toujours déjà".split(),
+    "es": "el la los las de del y un una en es se fue para por con que no al según debe era demasiado porque está lo su como próxima último sin más pero o ya muy hay son ha han sobre este esta cuando también todavía".split(),
+    "it": "il lo la i gli le di del della dei delle e un una è sono era stata stato per con che non al alla nel nella dal dalla si da ma anche come più ancora questo questa sul sulla durante prima dopo deve può ha hanno perché quando".split(),
+    "pt": "o a os as de do da dos das e um uma em no na nos nas é são foi para por com que não ao à se mas mais como também ainda este esta pelo pela deve pode está tem porque quando já muito depois antes".split(),
+    "nl": "de het een en van is zijn was werd wordt niet met voor door op aan bij naar om te dat die dit deze er ook nog maar als uit over moet kan heeft hebben omdat wanneer zonder geen".split(),
+    "sv": "och att det som en ett är av för på med den till inte har de om var vid från men eller ska kan efter innan eftersom när utan denna detta också ännu".split(),
+    "pl": "i w na z nie się że do jest to od po przez dla przy jak ale lub oraz był była było został została może musi ten ta który która które ponieważ jeszcze".split(),
+    "tr": "ve bir bu için ile da de olarak değil çok daha sonra önce gibi kadar ama veya ancak olan olduğu göre her şu ne var yok".split(),
 }
+#: Language signs: letters, and elided articles.
+LETTERS = {"de": "äößü", "fr": "èêëçœàù", "es": "ñ¿¡", "pt": "ãõ", "pl": "łżźśćąę", "tr": "şğı", "sv": "å"}
+ELIDED = ("l'", "d'", "l’", "d’", "s'", "n'", "qu'", "c'", "j'")
+#: Words that neither a sentence nor a phrase ends with, in the four languages of the prompts.
+UNFINISHED = frozenset(
+    (
+        "the a an of and or but because if when while with by from to for at into than as is was are were be been has have had may must can will would should could shall "
+        "which whose its their his her our your my between during under upon within without until since so although though where "
+        "der die das und oder den dem des ein eine einen einem einer im am vom beim zum zur mit bei nach wegen um für durch weil wenn als dass ist wurde wird hat sowie gegen unter über "
+        "le la les un une des du de et ou au aux à par pour dans sur avec sans parce que qui dont est sera très selon "
+        "el los las del y o al por para con sin en porque cuando es fue será está se su muy según"
+    ).split()
+)
+#: Verbs that make a clause of the words around them, and what a clause goes on with.
+FINITE = frozenset("is was are were has had may must can will would should could shall does did ist sind war waren wurde wurden wird werden hat haben muss müssen kann können soll est sont était sera doit peut faut es son fue era será está están debe puede ha han".split())
+GOES_ON = frozenset("and then|or then|and also|and so|such as|due to|in order|as well|und dann|und auch|sowie auch|et puis|et aussi|ainsi que|y luego|y también|así como".split("|"))
 #: Names of the languages in the four languages, as a request for one uses them.
 LANGUAGE_NAMES = {
     "en": r"english|englisch\w*|anglais\w*|inglés|ingles",
     "de": r"german|deutsch\w*|allemand\w*|alemán|aleman",
     "fr": r"french|französisch\w*|français\w*|francés|frances",
     "es": r"spanish|spanisch\w*|espagnol\w*|español|espanol|castellano",
+    "it": r"italian|italienisch\w*|italien\w*|italiano",
+    "pt": r"portuguese|portugiesisch\w*|portugais\w*|portugués|portugues",
+    "nl": r"dutch|niederländisch\w*|holländisch\w*|néerlandais\w*|neerlandés|holandés",
+    "sv": r"swedish|schwedisch\w*|suédois\w*|sueco",
+    "pl": r"polish|polnisch\w*|polonais\w*|polaco",
+    "tr": r"turkish|türkisch\w*|turc|turco",
+    "cyrillic": r"russian|russisch\w*|russe|ruso",
+    "greek": r"greek|griechisch\w*|grec|griego",
+    "arabic": r"arabic|arabisch\w*|arabe|árabe",
+    "han": r"chinese|chinesisch\w*|chinois\w*|chino|japanese|japanisch\w*|japonais\w*|japonés",
+    "kana": r"japanese|japanisch\w*|japonais\w*|japonés",
+    "hangul": r"korean|koreanisch\w*|coréen\w*|coreano",
+    "hebrew": r"hebrew|hebräisch\w*|hébreu|hebreo",
+    "devanagari": r"hindi",
+    "thai": r"thai|thailändisch\w*|thaï|tailandés",
 }
 SCRIPTS = (("cyrillic", 0x400, 0x52F), ("greek", 0x370, 0x3FF), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x77F), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7AF))
 
@@ -68,40 +127,65 @@ def says_nothing(answer: Column) -> Column:
 
 
 def declines(answer: Column) -> Column:
-    out = F.lit(False)
+    """A refusal by one of the grammars, or a sentence that speaks of the speaker, a limit and a regret or a bar, but
+    not of what documents hold. Only answers with a hint are read by the patterns."""
+    text = F.replace(F.lower(answer), F.lit("’"), F.lit("'"))
+    hinted = F.lit(False)
+    for hint in HINTS:
+        hinted = hinted | F.contains(text, F.lit(hint))
+    by_grammar = F.lit(False)
     for pattern in REFUSALS:
-        out = out | answer.rlike("(?iu)" + pattern)
-    return out
+        by_grammar = by_grammar | answer.rlike("(?iu)" + pattern)
+
+    def refuses(sentence: Column) -> Column:
+        barred = sentence.rlike(BARRED) & ~sentence.rlike(MISSING)
+        regretted = sentence.rlike(LIMIT) & sentence.rlike(REGRET) & ~sentence.rlike(ABSENT)
+        return sentence.rlike(SELF) & (barred | regretted)
+
+    by_parts = F.exists(F.split(text, r"(?<=[.!?])\s+|\n+"), refuses)
+    return F.when(hinted, by_grammar | by_parts).otherwise(False)
 
 
 def words_of(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
+LANGUAGES = tuple(FUNCTION_WORDS)
+TELLING: dict[str, tuple[int, ...]] = {}
+for _at, _words in enumerate(FUNCTION_WORDS.values()):
+    for _w in _words:
+        TELLING[_w] = (*TELLING.get(_w, ()), _at)
+_WORD = re.compile(r"\b[^\W\d_]+(?:['’][^\W\d_]+)?\b")
+
+
 def language(text: str) -> str | None:
     """The language (or foreign script) that most of the text's telling words belong to; null if nothing tells."""
-    scripts = Counter(name for c in text if ord(c) > 0x36F for name, low, high in SCRIPTS if low <= ord(c) <= high)
-    if scripts and max(scripts.values()) * 3 > sum(c.isalpha() for c in text):
-        return scripts.most_common(1)[0][0]
-    words = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", text.lower())
-    score = {}
-    for name, own in FUNCTION_WORDS.items():
-        score[name] = sum(w in own for w in words)
-    score["de"] += sum(c in text for c in "äößü") * 0.6
-    score["fr"] += sum(c in text for c in "èêëçœàù") * 0.6 + sum(w[:2] in ("l'", "d'", "l’", "d’", "s'", "n'") for w in words)
-    score["es"] += sum(c in text for c in "ñ¿¡") * 0.6
-    first, second = sorted(score.values(), reverse=True)[:2]
+    plain = text.isascii()
+    if not plain and max(text) > "\u036f":
+        scripts = Counter(name for c in text if ord(c) > 0x36F for name, low, high in SCRIPTS if low <= ord(c) <= high)
+        if scripts and max(scripts.values()) * 3 > sum(c.isalpha() for c in text):
+            return scripts.most_common(1)[0][0]
+    low = text.lower()
+    score = [0.0] * len(LANGUAGES)
+    for word in _WORD.findall(low):
+        for k in TELLING.get(word, ()):
+            score[k] += 1
+        if word[1:2] in "'’" and word[:2] in ELIDED:
+            score[2] += 1
+    if not plain:
+        for name, letters in LETTERS.items():
+            score[LANGUAGES.index(name)] += sum(map(low.count, letters)) * 0.6
+    first, second = sorted(score, reverse=True)[:2]
     if first < 2 or first - second < 1:
         return None
-    return max(score, key=score.get)
+    return LANGUAGES[score.index(first)]
+
+
+ASKED = {name: re.compile(rf"\b(?:in|into|auf|ins|en|al|à l['’]|to)\s+(?:\w+\s+)?(?:{pattern})\b", re.IGNORECASE) for name, pattern in LANGUAGE_NAMES.items()}
 
 
 def asked_languages(prompt: str) -> set[str]:
-    found = set()
-    for name, pattern in LANGUAGE_NAMES.items():
-        if re.search(rf"\b(?:in|into|auf|ins|en|al|à l['’]|to)\s+(?:\w+\s+)?(?:{pattern})\b", prompt, re.IGNORECASE):
-            found.add(name)
-    return found
+    return {name for name, pattern in ASKED.items() if pattern.search(prompt)}
 
 
 def tiles(answer: list[str], prompt: list[str], least: int = TILE_WORDS) -> tuple[list[bool], list[bool]]:
@@ -130,6 +214,10 @@ def gives_back(answer: list[str], prompt: list[str]) -> bool:
     """The answer is the prompt, once or more, with a few framing words at most."""
     if not answer or not prompt:
         return False
+    # The tiles can't cover more of the prompt than the words that both have.
+    both = set(answer)
+    if sum(w in both for w in prompt) < COPIED_SHARE * len(prompt):
+        return False
     left, share, rounds = answer, 0.0, 0
     while len(left) > ADDED_WORDS and rounds < 8:
         in_a, in_p = tiles(left, prompt, min(TILE_WORDS, len(prompt)))
@@ -141,12 +229,15 @@ def gives_back(answer: list[str], prompt: list[str]) -> bool:
     return share >= COPIED_SHARE or answer == prompt
 
 
+OPENERS = re.compile(r"```|~~~|[<(\[{“«\"]")
 CLOSES = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 
 
 def open_at_end(text: str) -> str | None:
     """What is still open where the text ends, by a pushdown parser: fence, tag, bracket or quotation. Inside a fence
     only the fence counts; a quotation mark opens at a word's beginning and closes at its end."""
+    if not OPENERS.search(text):
+        return None
     stack: list[str] = []
     pieces = re.split(r"```|~~~", text)
     fence = len(pieces) % 2 == 0
@@ -175,42 +266,55 @@ def open_at_end(text: str) -> str | None:
     return "fence" if fence else stack[-1] if stack else None
 
 
-LIST_ITEM = r"^\s*(?:[-*•+]|\d+[.)])\s+(.*)$"
+LIST_ITEM = re.compile(r"^\s*(?:[-*•+]|\d+[.)])\s+(.*)$")
+ENDS = re.compile(r"(?:[.!?…。！？:|>][\"'”’»)\]*_]*|[\"”»)\]])$")
+ITEM_ENDS = re.compile(r"[.!?…:;\"”»)\]]$")
+FENCED, ASKS_FOR = re.compile(r"(?s)```.*?(?:```|$)"), re.compile(r"(?i)^\s*answer in \w+\s*:")
 
 
-def examine(prompt: str | None, answer: str) -> tuple[str | None, str | None]:
-    """Defect of an answer that says something and declines nothing, and the last word of its list, if it ends in one."""
+def breaks_off(last: str, own: list[str]) -> bool:
+    """An unpunctuated last line of prose is no whole phrase: it ends in a word or sign that goes on, or is a clause."""
+    if last[-1] in ",;-–(":
+        return True
+    low = [w.lower().strip(",;:()\"'") for w in own]
+    if len(low) > 1 and (low[-1] in UNFINISHED or " ".join(low[-2:]) in GOES_ON):
+        return True
+    return len(own) >= SENTENCE_WORDS or (len(low) > 2 and not FINITE.isdisjoint(low[1:]))
+
+
+def examine(prompt: str | None, answer: str) -> tuple[str | None, str | None, bool]:
+    """Defect of an answer that says something and declines nothing; else the last word of its list item or unpunctuated
+    phrase, to be judged by all answers, and whether it is a list's."""
     prompt = prompt or ""
-    words, asked = words_of(answer), words_of(prompt)
-    if gives_back(words, asked):
-        return "copied_question", None
+    if gives_back(words_of(answer), words_of(prompt)):
+        return "copied_question", None, False
     text = answer.rstrip()
     last = text.rsplit("\n", 1)[-1]
-    item = re.match(LIST_ITEM, last) if "\n" in text else None
+    item = LIST_ITEM.match(last) if "\n" in text else None
     if open_at_end(text):
-        return "truncated", None
-    code = text.endswith(("```", "~~~"))
-    if not code and not item and not re.search(r"[.!?…。！？:|>][\"'”’»)\]*_]*$", text) and not re.search(r"[\"”»)\]]$", text):
-        own = re.findall(r"\S+", last)
-        if len(own) >= SENTENCE_WORDS or text[-1] in ",;" or own[-1].lower() in FUNCTION_WORDS["en"]:
-            return "truncated", None
-    prose = re.sub(r"(?s)```.*?(?:```|$)", " ", answer)
-    rest = prose
-    if prompt and prose.lower().startswith(prompt.lower().rstrip(" ?.!")):
-        rest = prose[len(prompt) :]
-    spoken = language(rest)
-    own = language(re.sub(r"(?i)^\s*answer in \w+\s*:", " ", prompt))
-    if spoken and own and spoken != own and spoken not in asked_languages(prompt):
-        return "other_language", None
+        return "truncated", None, False
     tail = None
-    if item and item.group(1).split() and not re.search(r"[.!?…:;\"”»)\]]$", last):
+    if not item and not text.endswith(("```", "~~~")) and not ENDS.search(text):
+        own = last.split()
+        if breaks_off(last, own):
+            return "truncated", None, False
+        tail = own[-1].lower() if len(own) > 1 else None
+    rest = FENCED.sub(" ", answer) if "```" in answer else answer
+    if prompt and rest.lower().startswith(prompt.lower().rstrip(" ?.!")):
+        rest = rest[len(prompt) :]
+    spoken = language(rest)
+    if spoken:
+        own = language(ASKS_FOR.sub(" ", prompt))
+        if own and spoken != own and spoken not in asked_languages(prompt):
+            return "other_language", None, False
+    if item and item.group(1).split() and not ITEM_ENDS.search(last):
         tail = item.group(1).split()[-1].lower()
-    return None, tail
+    return None, tail, item is not None
 
 
 def cut_lists(answers: DataFrame, tails: DataFrame) -> DataFrame:
-    """Those of ``tails`` (rec_id, tail) that are no end of a list item, by the words of all answers: the word stands
-    more often inside list items than at their end, or it is unknown and begins a longer known word."""
+    """Those of ``tails`` (rec_id, tail, listed) that are no end of a list item or phrase, by the words of all answers: in
+    a list the word stands more often inside items than at their end; or it is unknown and begins a longer known word."""
     number = lambda c: F.regexp_replace(c, r"\d[\d.,]*", "9")
     items = answers.select(F.explode(F.expr(r"regexp_extract_all(answer, '(?m)^\\s*(?:[-*•+]|\\d+[.)])\\s+(.*)$', 1)")).alias("item"))
     items = items.select(F.filter(F.split(F.lower(number(F.col("item"))), r"\s+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)
@@ -225,7 +329,8 @@ def cut_lists(answers: DataFrame, tails: DataFrame) -> DataFrame:
     judged = words.join(use, "word", "left").join(known, "word", "left").join(begun.withColumn("begins", F.lit(True)), "word", "left")
     goes_on = F.coalesce(F.col("inside") > F.col("final"), F.lit(False))
     in_word = F.col("count").isNull() & F.coalesce(F.col("begins"), F.lit(False))
-    return ends.join(judged.where(goes_on | in_word).select("word"), "word", "left_semi").select("rec_id", F.lit("truncated").alias("defect"))
+    judged = judged.where(goes_on | in_word).select("word", in_word.alias("in_word"))
+    return ends.join(judged, "word").where("listed or in_word").select("rec_id", F.lit("truncated").alias("defect"))
 
 
 def defective_pairs(pairs: DataFrame) -> DataFrame:
@@ -236,21 +341,26 @@ def defective_pairs(pairs: DataFrame) -> DataFrame:
     very long answers are examined whole; other columns (``stop`` among them) are ignored.
     """
     rows = pairs.select("rec_id", "prompt", "answer").distinct()
-    empty = rows.where(says_nothing(F.col("answer"))).select("rec_id", F.lit("empty").alias("defect"))
-    rest = rows.where(~says_nothing(F.col("answer"))).withColumn("declines", declines(F.col("answer")))
-    schema = T.StructType([pairs.schema["rec_id"], T.StructField("defect", T.StringType()), T.StructField("tail", T.StringType())])
+    answer = F.col("answer")
+    judged = F.when(says_nothing(answer), "empty").when(declines(answer), "refusal")
+    schema = T.StructType([pairs.schema["rec_id"], T.StructField("defect", T.StringType()), T.StructField("tail", T.StringType()), T.StructField("listed", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for prompt, answer, refused in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                defect, tail = examine(prompt, answer)
-                if refused and defect != "copied_question":
-                    defect, tail = "refusal", None
-                found.append((defect, tail))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d for d, _ in found], pa.string()), pa.array([t for _, t in found], pa.string())], names=["rec_id", "defect", "tail"])
-
-    seen = rest.select("rec_id", "prompt", "answer", "declines").mapInArrow(run, schema)
-    tails = seen.where("defect is null and tail is not null").select("rec_id", "tail")
-    lists = cut_lists(rows.where("answer is not null").select("answer"), tails)
-    return empty.unionByName(seen.where("defect is not null").select("rec_id", "defect")).unionByName(lists).distinct()
+            for prompt, answer, told in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                if told == "empty":
+                    found.append((told, None, False))
+                elif told:
+                    found.append(("copied_question" if gives_back(words_of(answer), words_of(prompt or "")) else told, None, False))
+                else:
+                    found.append(examine(prompt, answer))
+            kept = pa.array([n for n, (defect, tail, _) in enumerate(found) if defect or tail], pa.int64())
+            found = [f for f in found if f[0] or f[1]]
+            columns = (pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.bool_())))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), *columns], names=[f.name for f in schema])
+
+    # Defects and tails are few and short, and asked twice: cut, so that every answer is examined once.
+    seen = cut(rows.select("rec_id", "prompt", "answer", judged.alias("judged")).mapInArrow(run, schema))
+    lists = cut_lists(rows.where("answer is not null").select("answer"), seen.where("defect is null"))
+    return seen.where("defect is not null").select("rec_id", "defect").unionByName(lists).distinct()
