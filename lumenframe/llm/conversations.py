@@ -1,8 +1,9 @@
 """Problem 3: conversations from message rows.
 
 Method: rows that name a conversation belong to it; rows that lack the name are put together as connected components
-over their reply and quote links (alternating large-star and small-star joins). Then the rows of each conversation are
-ordered and the conversation is validated. Ordering is a range sort over (conversation, time, id), so that a very long
+over their reply and quote links (alternating large-star and small-star joins), and a component that is linked to a
+named conversation joins it. Then the rows of each conversation are ordered and the conversation is validated. The
+messages are read and cleaned once, as narrow rows (texts as hashes), and cut; ordering is a range sort over (conversation, time, id), so that a very long
 conversation spreads over several tasks; each task sums up its stretch, and the few stretches of a conversation are
 folded in order.
 """
@@ -79,44 +80,94 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def link_unnamed(messages: DataFrame, id_col: str = "id", reply_col: str = "reply_to", conversation_col: str = "session_id") -> DataFrame:
-    """``id`` and ``component`` of the rows without a conversation name, joined by reply links (if the column is there)
-    and by quotations: lines that begin with ``>`` and repeat another unnamed row's text. A quoted text is a node of
-    its own, so that many quotations of one text make as many links, not all pairs."""
-    rows = messages.where(F.col(conversation_col).isNull())
-    node = lambda c: F.concat(F.lit("m:"), c.cast("string"))
-    text = lambda c: F.trim(F.lower(F.regexp_replace(c, r"[\s\p{Z}]+", " ")))
-    key = lambda c: F.concat(F.lit("q:"), F.sha2(c, 256))
-    long_enough = lambda c: F.size(F.split(c, " ")) >= QUOTE_WORDS
-    quoted = F.array_join(F.regexp_extract_all("content", F.lit(r"(?m)^>+[ \t]?(.*)$"), 1), " ")
-    alone = rows.select(node(F.col(id_col)).alias("u"), node(F.col(id_col)).alias("v"))
-    asks = rows.select(node(F.col(id_col)).alias("u"), text(quoted).alias("q")).where(long_enough(F.col("q")))
-    says = rows.select(node(F.col(id_col)).alias("u"), text(F.col("content")).alias("q")).where(long_enough(F.col("q")))
-    wanted = asks.select("q").distinct()
-    links = asks.unionByName(says.join(wanted, "q", "left_semi").select("u", "q")).select("u", key(F.col("q")).alias("v"))
-    edges = alone.unionByName(links)
+def plain_words(text: Column) -> Column:
+    """A text's words, lower case, set apart by one blank each."""
+    return F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")))
+
+
+def quote_links(messages: DataFrame) -> DataFrame:
+    """``u``, ``v``, ``session_id``: links by quotations, lines that begin with > and whose words another row's own lines
+    hold in a row. A quotation is a node of its own (v), so that many rows with one text make as many links, not all
+    pairs. ``u`` is an unnamed row's node; rows of a conversation give its name instead, and a quotation that stands in
+    several conversations names none of them. Candidates come from an equi-join on the first words of the quotation."""
+    rows = messages.where(visible(F.col("content"))).select("id", "session_id", "content")
+    lines = lambda pattern: F.array_join(F.regexp_extract_all("content", F.lit(pattern), 1), " ")
+    asks = rows.where(F.col("content").rlike(r"(?m)^>")).select("id", "session_id", plain_words(lines(r"(?m)^>+[ \t]?(.*)$")).alias("quote"))
+    asks = asks.where(F.size(F.split("quote", " ")) >= QUOTE_WORDS)
+    asks = asks.withColumn("first", F.xxhash64(F.substring_index("quote", " ", QUOTE_WORDS)))
+    said = rows.select("id", "session_id", plain_words(lines(r"(?m)^(?!>)(.*)$")).alias("text")).withColumn("w", F.split("text", " ")).where(F.size("w") >= QUOTE_WORDS)
+    starts = F.sequence(F.lit(1), F.size("w") - QUOTE_WORDS + 1)
+    runs = said.select("id", "session_id", "text", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(QUOTE_WORDS)), " "))))).alias("first"))
+    held = F.contains(F.concat(F.lit(" "), "text", F.lit(" ")), F.concat(F.lit(" "), "quote", F.lit(" ")))
+    wanted = asks.select("quote", "first").distinct()
+    sayers = runs.join(wanted, "first").where(held).select("id", "session_id", "quote")
+    ends = sayers.unionByName(asks.select("id", "session_id", "quote")).withColumn("v", F.concat(F.lit("q:"), F.sha2("quote", 256)))
+    owners = ends.where("session_id is not null").groupBy("v").agg(F.min("session_id").alias("owner"), F.max("session_id").alias("last")).where("owner = last").select("v", "owner")
+    unnamed = ends.where("session_id is null").select(node(F.col("id")).alias("u"), "v").distinct()
+    return unnamed.join(owners, "v", "left").select("u", "v", F.col("owner").alias("session_id"))
+
+
+def node(id_col: Column) -> Column:
+    return F.concat(F.lit("m:"), id_col.cast("string"))
+
+
+def reply_links(messages: DataFrame, reply_col: str = "reply_to") -> DataFrame:
+    """``u``, ``v``, ``session_id``: links of an unnamed row u by reply, either way round: to another unnamed row v, or to a
+    row of a conversation."""
+    rows = messages.select("id", "session_id", reply_col).distinct()
+    asked = rows.where(F.col(reply_col).isNotNull()).select(F.col("id").alias("a"), F.col("session_id").alias("a_name"), F.col(reply_col).alias("b"))
+    pairs = asked.join(rows.select(F.col("id").alias("b"), F.col("session_id").alias("b_name")).distinct(), "b").where("a_name is null or b_name is null")
+    both = pairs.select("a", "a_name", "b", "b_name").unionByName(pairs.select(F.col("b").alias("a"), F.col("b_name").alias("a_name"), F.col("a").alias("b"), F.col("a_name").alias("b_name")))
+    both = both.where("a_name is null").distinct()
+    return both.select(node(F.col("a")).alias("u"), F.when(F.col("b_name").isNull(), node(F.col("b"))).otherwise(node(F.col("a"))).alias("v"), F.col("b_name").alias("session_id"))
+
+
+def link_unnamed(messages: DataFrame, quoted: bool = True, reply_col: str = "reply_to") -> DataFrame:
+    """``id_text``, ``conversation``, ``named`` of the rows without a conversation name: those joined by reply links (if the
+    column is there) and quotations are one component. A component linked to rows of a conversation belongs to it (to
+    the first by name, if there are several); others are called after their least row."""
+    alone = messages.where("session_id is null and id is not null").select(node(F.col("id")).alias("u")).select("u", F.col("u").alias("v"), F.lit(None).cast("string").alias("session_id"))
+    links = alone
     if reply_col in messages.columns:
-        known = alone.select("u").distinct()
-        replies = rows.where(F.col(reply_col).isNotNull()).select(node(F.col(id_col)).alias("u"), node(F.col(reply_col)).alias("v"))
-        edges = edges.unionByName(replies.join(known.withColumnRenamed("u", "v"), "v", "left_semi").select("u", "v"))
-    parts = connected_components(edges).where(F.col("node").startswith("m:"))
-    return parts.select(F.expr("substring(node, 3)").alias("id_text"), F.concat(F.lit("linked-"), F.expr("substring(component, 3)")).alias("component"))
-
-
-def assemble(messages: DataFrame) -> DataFrame:
-    """The rows of all conversations, cleaned: ``conversation``, ``named``, ``id``, ``speaker`` (null if it cannot be
-    told), ``content``, ``ts`` (whole seconds). Rows without a visible character are left out; rows equal in session,
-    role, content and ts count once, with the lowest id. Extra columns are ignored."""
-    reply = ["reply_to"] if "reply_to" in messages.columns else []
-    rows = messages.select("id", "session_id", "role", "content", "ts", *reply).where(visible(F.col("content")))
-    unnamed = rows.where("session_id is null")
-    linked = link_unnamed(unnamed) if unnamed.take(1) else None
-    named = rows.where("session_id is not null").select(F.col("session_id").alias("conversation"), F.lit(True).alias("named"), "id", "role", "content", "ts")
-    if linked is not None:
+        links = links.unionByName(reply_links(messages, reply_col))
+    if quoted:
+        links = links.unionByName(quote_links(messages))
+    links = cut(links.distinct())
+    parts = connected_components(links.select("u", "v")).where(F.col("node").startswith("m:"))
+    names = links.where("session_id is not null").select(F.col("u").alias("node"), "session_id")
+    owners = parts.join(names, "node").groupBy("component").agg(F.min("session_id").alias("owner"))
+    told = parts.join(owners, "component", "left")
+    own = F.concat(F.lit("linked-"), F.expr("substring(component, 3)"))
+    return told.select(F.expr("substring(node, 3)").alias("id_text"), F.coalesce("owner", own).alias("conversation"), F.col("owner").isNotNull().alias("named"))
+
+
+def assemble(messages: DataFrame, texts: bool = False) -> DataFrame:
+    """The rows of all conversations, cleaned and cut: ``conversation``, ``named``, ``id``, ``speaker`` (null if it cannot be
+    told), ``ts`` (whole seconds), ``seen`` (false: the one row that stands for a conversation's invisible rows), and
+    ``content`` if ``texts`` are asked for. Rows equal in session, role, content and ts count once, with the lowest id.
+    Extra columns are ignored."""
+    seen = visible(F.col("content"))
+    shown = lambda c: F.when(F.col("seen"), c)
+    rows = messages.select("id", "session_id", "role", "content", "ts").withColumn("seen", seen).where("seen or session_id is not null")
+    keyed = rows.select(
+        "session_id", "seen", F.when(F.col("session_id").isNull(), F.col("id")).alias("own"), shown(F.col("role")).alias("role"), shown(F.col("ts")).alias("ts"),
+        shown(F.xxhash64("content")).alias("h1"), shown(F.hash("content")).alias("h2"), shown(F.contains("content", F.lit(">"))).alias("marked"), "id", "content",
+    )
+    keys = ["session_id", "seen", "own", "role", "ts", "h1", "h2"]
+    text = [F.min_by("content", "id").alias("content")] if texts else []
+    once = cut(keyed.groupBy(*keys).agg(F.min("id").alias("id"), F.bool_or("marked").alias("marked"), *text))
+    kept = ["id", "role", "ts", "h1", "h2", "seen", *(["content"] if texts else [])]
+    named = once.where("session_id is not null").select(F.col("session_id").alias("conversation"), F.lit(True).alias("named"), *kept)
+    unnamed = once.where("session_id is null")
+    if unnamed.take(1):
+        # The small table is asked, not the messages: without a mark in any row there is no quotation to look for.
+        linked = link_unnamed(messages, bool(once.where("marked").take(1)))
         own = unnamed.withColumn("id_text", F.col("id").cast("string")).join(linked, "id_text", "left")
-        named = named.unionByName(own.select(F.coalesce("component", F.lit("linked-")).alias("conversation"), F.lit(False).alias("named"), "id", "role", "content", "ts"))
-    once = named.groupBy("conversation", "named", "role", "content", "ts").agg(F.min("id").alias("id"))
-    return once.select("conversation", "named", "id", speaker(F.col("role")).alias("speaker"), "content", whole_seconds(F.col("ts")).alias("ts"))
+        own = own.select(F.coalesce("conversation", F.lit("linked-")).alias("conversation"), F.coalesce("named", F.lit(False)).alias("named"), *kept)
+        again = ["conversation", "named", "role", "ts", "h1", "h2", "seen"]
+        named = named.unionByName(own).groupBy(*again).agg(F.min("id").alias("id"), *text)
+    columns = ["conversation", "named", "id", speaker(F.col("role")).alias("speaker"), whole_seconds(F.col("ts")).alias("ts"), "seen"]
+    return named.select(*columns, *(["content"] if texts else []))
 
 
 ORDER = ("conversation", "named", "ts", "id")
@@ -205,12 +256,12 @@ def rejected(messages: DataFrame, sessions: DataFrame | None = None) -> DataFram
     is not system is not the user's), ``missing_reply`` (a user row without an assistant row before the next user row
     or the end). Conversations of ``sessions`` without a row are empty. Null names name nothing; a null role is a
     speaker that cannot be told; equal times are ordered by id; a null time comes first; no rows give no rows."""
-    names = messages.select("session_id")
+    rows = assemble(messages)
+    names = rows.where("named").select(F.col("conversation").alias("session_id"))
     if sessions is not None:
-        names = names.unionByName(sessions.select("session_id"))
-    names = names.where("session_id is not null").distinct()
-    judged = judge(assemble(messages)).where("named").select(F.col("conversation").alias("session_id"), "turns", "reason")
-    kept = names.join(judged, "session_id", "left")
+        names = names.unionByName(sessions.where("session_id is not null").select("session_id"))
+    judged = judge(rows.where("seen")).where("named").select(F.col("conversation").alias("session_id"), "turns", "reason")
+    kept = names.distinct().join(judged, "session_id", "left")
     return kept.select("session_id", F.when(F.col("turns").isNull(), "empty").otherwise(F.col("reason")).alias("reason")).where("reason is not null")
 
 
@@ -218,7 +269,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     """The rows of all sound conversations: ``conversation``, ``named`` (false: put together by links), ``turn`` (from
     1), ``speaker``, ``content``, ``ts``, ``id``. Turn numbers are a stretch's own count plus the rows of the stretches
     before it, so a long conversation is numbered by several tasks."""
-    rows = assemble(messages)
+    rows = assemble(messages, texts=True).where("seen").drop("seen")
     sound = rows.join(judge(rows).where("reason is null").select("conversation", "named"), ["conversation", "named"], "left_semi")
     # Cut, as the numbering below needs one and the same partitioning twice.
     placed = cut(in_order(sound)).withColumn("at", F.spark_partition_id())

@@ -78,3 +78,19 @@ def test_unnamed_rows_join_by_reply_and_quote(spark):
     assert by[1] == by[2] == by[3] == by[4] and len({by[1], by[5], by[6], by[7]}) == 4 and by[7] == "s"
     sound = c.conversations(df).orderBy("ts").collect()
     assert [(r["id"], r["turn"], r["named"]) for r in sound] == [(1, 1, False), (2, 2, False), (3, 3, False), (4, 4, False)]
+
+
+def test_an_unnamed_reply_belongs_to_the_named_conversation(spark):
+    said = "the seal of the pump was found leaking at the drive end"
+    rows = [
+        (1, "s1", "user", "Is the pump sound?", 1, None), (2, None, "assistant", "It is.", 2, 1), (3, None, "assistant", "Also the seal.", 3, 2),
+        (4, "s2", "user", said.capitalize() + ", why?", 1, None), (5, None, "bot", "> found leaking at the drive end\nWear.", 2, None),
+        (6, "s3", "user", "both ask what the level of the drum is", 1, None), (7, "s4", "user", "both ask what the level of the drum is", 1, None), (8, None, "bot", "> what the level of the drum is\n12 mm.", 2, None),
+        (9, "s5", "assistant", "An answer", 2, 10), (10, None, "user", "A question", 1, None), (11, None, "assistant", "It is.", 2, 1),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA + ", reply_to long")
+    by = {r["id"]: (r["conversation"], r["named"]) for r in c.assemble(df).collect()}
+    assert by[2] == by[3] == ("s1", True) and by[5] == ("s2", True) and by[10] == ("s5", True)
+    assert by[8] == ("linked-8", False) and 11 not in by  # equal in name, role, content and ts: counts once
+    got = {r["session_id"]: r["reason"] for r in c.rejected(df).collect()}
+    assert got == {"s3": "missing_reply", "s4": "missing_reply"}
