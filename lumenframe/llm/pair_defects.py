@@ -63,8 +63,10 @@ ABSENT = r"\b(?:find|found|mention\w*|entry|entries|contain\w*|record\w*|index\w
 MISSING = r"\b(?:find|found|mention\w*|entry|entries|contain\w*|record\w*|index\w*|corpus|match\w*)\b"
 #: A word of a grammar stands in every refusal; texts without any of these pieces are none.
 HINTS = (
-    "not", "n't", "n’t", "unable", "declin", "refus", "against", "outside", "beyond", "sorry", "afraid", "apolog", "unfortunately", "regret", "no ", "nothing", "off", "pass", "abstain", "refrain",
-    "nicht", "kein", "lehne", "verweiger", "untersagt", "verboten", "ne ", "interdit", "défendu", "impossible", "refuse", "décline", "droit", "niego", "prohíb", "prohibido", "rechaz", "forbid", "prohibit", "barred", "prevent", "tied", "steer", "stay",
+    " not", "n't", "cannot", "unable", "declin", "refus", "against", "outside", "beyond", "sorry", "afraid", "apolog", "unfortunately", "regret", "forgive", "pardon", "thank you for", "no answer", "nothing",
+    "off the table", "off limits", "off-limits", "out of bounds", "out of scope", "no go", "no-go", "to pass", "ll pass", "will pass", "must pass", "abstain", "refrain", "say no", "turn this", "turn that", "turn it", "skip", "leave",
+    "rather", "never", "unwilling", "uncomfort", "violat", "conflict", "contrary", "forbid", "prohibit", "barred", "restricted", "prevent", "keeps ", "stops ", "tied", "draw the line", "steer clear", "stay away", "stay out", "sit this", "hold back",
+    "nicht", "kein", "lehne", "verweiger", "untersagt", "verboten", "je ne ", "m'est", "interdit", "défendu", "refuse", "décline", "droit", "no puedo", "no podr", "no voy", "no debo", "no quiero", "no estoy", "no se me", "no me", "niego", "prohíb", "prohibido", "rechaz",
 )
 
 #: Fixed function words by language.
@@ -143,7 +145,7 @@ def declines(answer: Column) -> Column:
         return sentence.rlike(SELF) & (barred | regretted)
 
     by_parts = F.exists(F.split(text, r"(?<=[.!?])\s+|\n+"), refuses)
-    return F.when(hinted, by_grammar | by_parts).otherwise(False)
+    return F.when(hinted, by_grammar | F.when(text.rlike(SELF), by_parts).otherwise(False)).otherwise(False)
 
 
 def words_of(text: str) -> list[str]:
