@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,25 +38,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt to all cores if its scan has fewer pieces than there are (one small file is one task, whatever its
-    text costs). Inputs of as many files or splits as cores, so all large ones, are left as they are."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if max(len(df.inputFiles()), size // split) >= cores else df.repartition(cores)
+    """``df`` (a plain scan), dealt to all cores if it has fewer pieces than there are: one small file is one task, whatever
+    its text costs. Scans of as many pieces as cores, so all large ones, are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder. The cluster names it in ``spark.checkpoint.dir``; only where neither that nor
-    ``setCheckpointDir`` gave one (tests, a laptop) a temporary folder of this machine is set."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir`` (or ``setCheckpointDir`` has set). Only a local
+    session, whose tasks all run on this machine, gets a temporary one; elsewhere a missing setting is an error."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    wanted = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    wanted = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not wanted:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        wanted = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, wanted, ignore_errors=True)
     context.setCheckpointDir(wanted)
-    return wanted
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared checkpoint folder and read again: lineage is cut as by ``cut``, but the rows
+    are compressed and each reader takes only the columns that it asks for. ``forget`` removes these tables."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _TABLES.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_TABLES: list[str] = []
+
+
+def forget(spark: SparkSession) -> int:
+    """Remove all tables that ``stored`` wrote in this process; their readers must have ended. Gives their number."""
+    jvm, gone = spark.sparkContext._jvm, len(_TABLES)
+    while _TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def cut(df: DataFrame) -> DataFrame:
