@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.session import cut
+from lumenframe.session import cut, stored
 
 #: Spellings of the speakers, lower case and trimmed. Any other spelling is a speaker that cannot be told.
 SPEAKERS = {
@@ -132,7 +132,7 @@ def link_unnamed(messages: DataFrame, quoted: bool = True, reply_col: str = "rep
         links = links.unionByName(reply_links(messages, reply_col))
     if quoted:
         links = links.unionByName(quote_links(messages))
-    links = cut(links.distinct())
+    links = stored(links.distinct())
     parts = connected_components(links.select("u", "v")).where(F.col("node").startswith("m:"))
     names = links.where("session_id is not null").select(F.col("u").alias("node"), "session_id")
     owners = parts.join(names, "node").groupBy("component").agg(F.min("session_id").alias("owner"))
@@ -155,17 +155,19 @@ def assemble(messages: DataFrame, texts: bool = False) -> DataFrame:
     )
     keys = ["session_id", "seen", "own", "role", "ts", "h1", "h2"]
     text = [F.min_by("content", "id").alias("content")] if texts else []
-    once = cut(keyed.groupBy(*keys).agg(F.min("id").alias("id"), F.bool_or("marked").alias("marked"), *text))
+    once = stored(keyed.groupBy(*keys).agg(F.min("id").alias("id"), F.bool_or("marked").alias("marked"), *text))
     kept = ["id", "role", "ts", "h1", "h2", "seen", *(["content"] if texts else [])]
     named = once.where("session_id is not null").select(F.col("session_id").alias("conversation"), F.lit(True).alias("named"), *kept)
     unnamed = once.where("session_id is null")
     if unnamed.take(1):
         # The small table is asked, not the messages: without a mark in any row there is no quotation to look for.
-        linked = link_unnamed(messages, bool(once.where("marked").take(1)))
+        linked = stored(link_unnamed(messages, bool(once.where("marked").take(1))))
         own = unnamed.withColumn("id_text", F.col("id").cast("string")).join(linked, "id_text", "left")
         own = own.select(F.coalesce("conversation", F.lit("linked-")).alias("conversation"), F.coalesce("named", F.lit(False)).alias("named"), *kept)
-        again = ["conversation", "named", "role", "ts", "h1", "h2", "seen"]
-        named = named.unionByName(own).groupBy(*again).agg(F.min("id").alias("id"), *text)
+        again = lambda df: df.groupBy("conversation", "named", "role", "ts", "h1", "h2", "seen").agg(F.min("id").alias("id"), *text)
+        # Only where a row joins a named conversation, its equals among the named rows must be looked for.
+        joined = bool(linked.where("named").take(1))
+        named = again(named.unionByName(own)) if joined else named.unionByName(again(own).select(*named.columns))
     columns = ["conversation", "named", "id", speaker(F.col("role")).alias("speaker"), whole_seconds(F.col("ts")).alias("ts"), "seen"]
     return named.select(*columns, *(["content"] if texts else []))
 
