@@ -1,9 +1,9 @@
 """Problem 2: percentiles per group over very many values, from partial results that can be combined.
 
 Method: dyadic Count-sketches. Values are encoded in order with a bounded relative error; for each binary resolution of
-the code space there is one signed sketch (the coarse resolutions, with no more nodes than a sketch has columns, are
-held exactly). Sketches merge by addition, so those of partitions and days combine, and negative weights delete. A
-percentile is found by descending the resolutions, at each step into the half that holds the wanted rank.
+the code space there is one signed sketch (the resolutions coarse enough to have few occupied nodes are held exactly).
+Every task sketches its own rows; sketches merge by addition, so those of partitions and days combine, and negative
+weights delete. A percentile is found by descending the resolutions, at each step into the half that holds its rank.
 """
 
 from __future__ import annotations
@@ -22,11 +22,16 @@ from pyspark.sql import types as T
 BITS = 11
 #: Codes of all non-negative 64-bit values fit this many bits.
 CODE_BITS = 17
-#: Columns and rows of each sketch.
-WIDTH, DEPTH = 512, 5
-#: Resolutions below this one are sketched; this one (WIDTH nodes) and the coarser ones are exact.
-EXACT_LEVEL = CODE_BITS - (WIDTH.bit_length() - 1)
-CELLS = EXACT_LEVEL * DEPTH * WIDTH + WIDTH
+#: Columns and rows of each resolution's sketch.
+WIDTH, DEPTH = 1024, 5
+#: Nodes of the finest resolution that is held exactly, and heavy codes held apart.
+EXACT_NODES, ATOMS = 1024, 128
+#: Standard deviations that the stated bound allows each sketched resolution. By Chebyshev a row lies outside with a chance
+#: of 1/9 at most, the median of five rows with 1.2 %, so a percentile of k sketched resolutions (two estimates each) lies
+#: within its bound with a chance of at least 1 - 0.024 k.
+SIGMAS = 3.0
+#: Partial sketches that one task adds up, by their tasks' numbers, before the sums of a group meet.
+FAN_IN = 64
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
 #: Rows that a task gathers before it turns them into counts.
 CHUNK_ROWS = 400_000
@@ -54,93 +59,159 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Dyadic:
-    """The sketches' hash tables: for each sketched resolution and row, cell and sign of every node."""
-
-    def __init__(self):
-        self.cell, self.sign = [], []
-        for level in range(EXACT_LEVEL):
-            nodes = np.arange(1 << (CODE_BITS - level), dtype=np.uint64)
-            for row in range(DEPTH):
-                seed = np.uint64(((level * DEPTH + row + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1))
-                h = mix(nodes + seed)
-                self.cell.append(((h >> np.uint64(55)).astype(np.int32) % WIDTH) + (level * DEPTH + row) * WIDTH)
-                self.sign.append(np.where(h & np.uint64(1), 1, -1).astype(np.int8))
-
-    def sketch(self, codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        at, signed = [], []
-        for k in range(EXACT_LEVEL * DEPTH):
-            nodes = codes >> (k // DEPTH)
-            at.append(self.cell[k][nodes])
-            signed.append(self.sign[k][nodes] * weights)
-        at.append((codes >> EXACT_LEVEL) + EXACT_LEVEL * DEPTH * WIDTH)
-        signed.append(weights)
-        return np.bincount(np.concatenate(at), np.concatenate(signed), CELLS).astype(np.int64)
-
-    def count(self, cells: np.ndarray, level: int, nodes: np.ndarray) -> np.ndarray:
-        """Estimated weight of nodes of a sketched resolution."""
-        rows = [cells[self.cell[k][nodes]] * self.sign[k][nodes] for k in range(level * DEPTH, (level + 1) * DEPTH)]
-        return np.median(rows, axis=0)
-
-    def quantiles(self, cells: np.ndarray, q: tuple) -> tuple[int, np.ndarray, float]:
+class Sketch:
+    """A dyadic Count-sketch of weighted codes. ``nodes`` and ``weights`` hold the resolution ``level`` exactly (and with it
+    all coarser ones), ``cells`` one signed sketch for each finer resolution. As long as few codes are held, the level is 0
+    and nothing is sketched. Heavy codes (``atoms``) are held apart, so that the sketches carry the light rest only. All
+    parts are sums over codes: sketches add up, and negative weights delete."""
+
+    __slots__ = ("level", "nodes", "weights", "atoms", "atom_weights", "cells")
+
+    def __init__(self, codes: np.ndarray, weights: np.ndarray):
+        self.level, self.cells = 0, []
+        self.atoms = self.atom_weights = np.zeros(0, np.int64)
+        self.nodes, self.weights = summed(codes.astype(np.int64), weights.astype(np.int64))
+        self.shrink()
+
+    def coarsen(self) -> None:
+        if self.level == 0:
+            heavy = np.zeros(len(self.nodes), bool)
+            heavy[np.argsort(-np.abs(self.weights), kind="stable")[:ATOMS]] = True
+            self.atoms, self.atom_weights = summed(np.concatenate([self.atoms, self.nodes[heavy]]), np.concatenate([self.atom_weights, self.weights[heavy]]))
+            self.nodes, self.weights = self.nodes[~heavy], self.weights[~heavy]
+        self.cells.append(sketched(self.level, self.nodes, self.weights))
+        self.level += 1
+        self.nodes, self.weights = summed(self.nodes >> 1, self.weights)
+
+    def shrink(self) -> None:
+        if len(self.atoms) > 2 * ATOMS:
+            light = np.ones(len(self.atoms), bool)
+            light[np.argsort(-np.abs(self.atom_weights), kind="stable")[:ATOMS]] = False
+            codes, weights = self.atoms[light], self.atom_weights[light]
+            self.cells = [c + sketched(k, codes >> k, weights) for k, c in enumerate(self.cells)]
+            self.nodes, self.weights = summed(np.concatenate([self.nodes, codes >> self.level]), np.concatenate([self.weights, weights]))
+            self.atoms, self.atom_weights = self.atoms[~light], self.atom_weights[~light]
+        while len(self.nodes) > EXACT_NODES:
+            self.coarsen()
+
+    def add(self, other: Sketch) -> Sketch:
+        while self.level < other.level:
+            self.coarsen()
+        while other.level < self.level:
+            other.coarsen()
+        self.nodes, self.weights = summed(np.concatenate([self.nodes, other.nodes]), np.concatenate([self.weights, other.weights]))
+        self.atoms, self.atom_weights = summed(np.concatenate([self.atoms, other.atoms]), np.concatenate([self.atom_weights, other.atom_weights]))
+        self.cells = [a + b for a, b in zip(self.cells, other.cells, strict=True)]
+        self.shrink()
+        return self
+
+    def atoms_in(self, level: int, node: int) -> int:
+        first, last = np.searchsorted(self.atoms, [node << level, (node + 1) << level])
+        return int(self.atom_weights[first:last].sum())
+
+    def count(self, level: int, node: int) -> float:
+        """Estimated weight of a node of a sketched resolution, atoms aside."""
+        at, sign = hashed(level, np.array([node]))
+        return float(np.median(self.cells[level][np.arange(DEPTH), at[:, 0]] * sign[:, 0]))
+
+    def quantiles(self, q: tuple) -> tuple[int, list[float], float]:
         """Total weight, values at the quantiles ``q``, and the bound of their rank error as a share of the weight."""
-        top = cells[-WIDTH:]
-        n = int(top.sum())
+        nodes, weights = summed(np.concatenate([self.nodes, self.atoms >> self.level]), np.concatenate([self.weights, self.atom_weights]))
+        n = int(weights.sum())
         if n <= 0:
-            return n, np.full(len(q), np.nan), 0.0
-        sums = np.cumsum(top)
-        rank = np.maximum(np.ceil(np.array(q) * n), 1)
-        node = np.searchsorted(sums, rank)
-        rest, weight = rank - np.where(node > 0, sums[node - 1], 0), top[node].astype(float)
-        for level in range(EXACT_LEVEL - 1, -1, -1):
-            left = self.count(cells, level, node * 2)
-            right = self.count(cells, level, node * 2 + 1)
-            left = np.clip((left + weight - right) / 2, 0, weight)
-            go = rest > left
-            rest, weight = np.where(go, rest - left, rest), np.where(go, weight - left, left)
-            node = node * 2 + go
-        power = np.square(cells[: EXACT_LEVEL * DEPTH * WIDTH].astype(float)).reshape(EXACT_LEVEL, DEPTH, WIDTH).sum(axis=2)
-        bound = 2 * np.sqrt(np.median(power, axis=1).sum() / WIDTH) / n
-        return n, decode(node), float(min(1.0, bound))
-
-
-def pack(cells: np.ndarray) -> bytes:
-    small = cells.astype(np.int32) if np.abs(cells).max(initial=0) < 2**31 else cells
-    return (b"4" if small.dtype == np.int32 else b"8") + zlib.compress(small.tobytes(), 1)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[1:]), np.int32 if data[:1] == b"4" else np.int64).astype(np.int64)
+            return n, [float("nan")] * len(q), 0.0
+        sums, found = np.cumsum(weights), []
+        for x in q:
+            rank = max(int(np.ceil(x * n)), 1)
+            at = min(int(np.searchsorted(sums, rank)), len(nodes) - 1)
+            node, rest, weight = int(nodes[at]), float(rank - (sums[at] - weights[at])), float(weights[at])
+            for level in range(self.level - 1, -1, -1):
+                left, right = self.atoms_in(level, 2 * node), self.atoms_in(level, 2 * node + 1)
+                light = max(weight - left - right, 0.0)
+                left += min(max((self.count(level, 2 * node) + light - self.count(level, 2 * node + 1)) / 2, 0.0), light)
+                node = 2 * node
+                if rest > left:
+                    node, rest, weight = node + 1, rest - left, weight - left
+                else:
+                    weight = left
+            found.append(float(decode(np.array([node]))[0]))
+        # A row's error has the variance F2 / WIDTH; F2 is estimated from the rows themselves.
+        sigma = [float(np.sqrt(np.median(np.square(c.astype(float)).sum(axis=1)) / WIDTH)) for c in self.cells]
+        return n, found, min(1.0, SIGMAS * sum(sigma) / n)
+
+    def pack(self) -> bytes:
+        head = np.array([self.level, len(self.nodes), len(self.atoms)], np.int64)
+        parts = [head, self.nodes, self.weights, self.atoms, self.atom_weights, *(c.ravel() for c in self.cells)]
+        return zlib.compress(np.concatenate(parts).tobytes(), 1)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Sketch:
+        flat = np.frombuffer(zlib.decompress(data), np.int64)
+        level, n, m = (int(x) for x in flat[:3])
+        out = cls.__new__(cls)
+        out.level = level
+        out.nodes, out.weights, out.atoms, out.atom_weights, cells = np.split(flat[3:], np.cumsum([n, n, m, m]))
+        out.cells = list(cells.reshape(level, DEPTH, WIDTH))
+        return out
+
+
+def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with their summed weights; those that cancel out go."""
+    if len(keys) > 1 and not (np.diff(keys) > 0).all():
+        order = np.argsort(keys, kind="stable")
+        keys, weights = keys[order], weights[order]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(keys) > 0]))
+        keys, weights = keys[first], np.add.reduceat(weights, first)
+    kept = weights != 0
+    return (keys, weights) if kept.all() else (keys[kept], weights[kept])
+
+
+def hashed(level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cell and sign of each node in each row of a resolution's sketch."""
+    seeds = (np.arange(level * DEPTH + 1, (level + 1) * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    h = mix(nodes.astype(np.uint64)[None, :] + seeds)
+    return (h >> np.uint64(40)).astype(np.int64) % WIDTH, np.where(h & np.uint64(1), 1, -1)
+
+
+def sketched(level: int, nodes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The signed sketch of a resolution: DEPTH rows of WIDTH cells."""
+    at, sign = hashed(level, nodes)
+    flat = np.bincount((at + np.arange(DEPTH)[:, None] * WIDTH).ravel(), (sign * weights).ravel(), DEPTH * WIDTH)
+    return np.rint(flat).astype(np.int64).reshape(DEPTH, WIDTH)
 
 
 def key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
 
-def counted(df: DataFrame, keys: list[str], metrics: dict[str, int], weight_col: str | None) -> DataFrame:
-    """``keys``, ``metric``, ``codes``, ``weights``: a task's values as counts of codes, one row for each of its
-    groups. However many rows a group has, a task gives at most 2**CODE_BITS counts of it."""
-    schema = T.StructType([*key_fields(df, keys), T.StructField("metric", T.StringType()), T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.LongType()))])
+def partial(df: DataFrame, keys: list[str], metrics: dict[str, int], weight_col: str | None) -> DataFrame:
+    """``keys``, ``metric``, ``sketch_part`` (number of the task, by FAN_IN), ``cells``: a sketch of each group and metric of every
+    CHUNK_ROWS rows of a task, made where the rows are. However many rows a group has, only sketches leave the task."""
+    schema = T.StructType([*key_fields(df, keys), T.StructField("metric", T.StringType()), T.StructField("sketch_part", T.IntegerType()), T.StructField("cells", T.BinaryType())])
     names, least, n_keys = list(metrics), list(metrics.values()), len(keys)
     columns = df.select(*keys, *(F.col(m).cast("long").alias(m) for m in names), (F.lit(1) if weight_col is None else F.col(weight_col)).cast("long").alias("weight"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        from pyspark import TaskContext
+
+        held, rows, part = [], 0, TaskContext.get().partitionId() // FAN_IN
         own = [f"k{i}" for i in range(n_keys)]
 
         def out() -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(held)
             for name, low, at in zip(names, least, range(n_keys, n_keys + len(names)), strict=True):
-                values = whole.column(at)
-                part = whole.filter(pc.fill_null(pc.greater_equal(values, low), False))
-                if not part.num_rows:
+                known = pc.and_(pc.fill_null(pc.greater_equal(whole.column(at), low), False), pc.is_valid(whole.column(n_keys + len(names))))
+                some = whole.filter(known)
+                if not some.num_rows:
                     continue
-                codes = pa.array(encode(part.column(at).to_numpy()).astype(np.int32))
-                flat = pa.table([*(part.column(i) for i in range(n_keys)), codes, part.column(n_keys + len(names))], names=[*own, "code", "w"])
+                codes = pa.array(encode(some.column(at).to_numpy()).astype(np.int32))
+                flat = pa.table([*(some.column(i) for i in range(n_keys)), codes, some.column(n_keys + len(names))], names=[*own, "code", "w"])
                 once = flat.group_by([*own, "code"], use_threads=False).aggregate([("w", "sum")])
                 once = once.append_column("one", pa.array(np.zeros(once.num_rows, np.int8)))
-                lists = once.group_by([*own, "one"], use_threads=False).aggregate([("code", "list"), ("w_sum", "list")])
-                yield from pa.table([*(lists.column(k) for k in own), pa.array([name] * lists.num_rows, pa.string()), lists.column("code_list"), lists.column("w_sum_list")], names=[*keys, "metric", "codes", "weights"]).combine_chunks().to_batches()
+                lists = once.group_by([*own, "one"], use_threads=False).aggregate([("code", "list"), ("w_sum", "list")]).combine_chunks()
+                codes, weights = (lists.column(c).chunk(0) for c in ("code_list", "w_sum_list"))
+                cells = [Sketch(codes[i].values.to_numpy(), weights[i].values.to_numpy()).pack() for i in range(lists.num_rows)]
+                yield from pa.table([*(lists.column(k) for k in own), pa.array([name] * lists.num_rows, pa.string()), pa.array([part] * lists.num_rows, pa.int32()), pa.array(cells, pa.binary())], names=[*keys, "metric", "sketch_part", "cells"]).to_batches()
 
         for batch in batches:
             held.append(batch)
@@ -187,24 +258,8 @@ def sketches(df: DataFrame, keys: list[str], metrics: dict[str, int], weight_col
     and are left aside. ``weight_col`` gives each row's weight (null: left out; negative: a deletion). Null keys are a
     group of their own. Groups without a measurement, and an empty table, give no row. Other columns are ignored.
     """
-    n_keys = len(keys)
-    schema = T.StructType([*key_fields(df, keys), T.StructField("metric", T.StringType()), T.StructField("cells", T.BinaryType())])
-
-    def work(rows):
-        dyadic, counts, key = Dyadic(), np.zeros(1 << CODE_BITS, np.int64), None
-        for row in rows:
-            if row[: n_keys + 1] != key:
-                if key is not None:
-                    codes = np.flatnonzero(counts)
-                    yield (*key, pack(dyadic.sketch(codes, counts[codes])))
-                    counts[codes] = 0
-                key = row[: n_keys + 1]
-            np.add.at(counts, row[n_keys + 1], row[n_keys + 2])
-        if key is not None:
-            codes = np.flatnonzero(counts)
-            yield (*key, pack(dyadic.sketch(codes, counts[codes])))
-
-    return streamed(counted(df, keys, metrics, weight_col), [*keys, "metric"], schema, work)
+    # A tree of two stages: a hot group's sketches, one a task, are added up by several tasks first.
+    return merged(merged(partial(df, keys, metrics, weight_col), [*keys, "sketch_part"]), keys)
 
 
 def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -217,11 +272,12 @@ def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
         for row in rows:
             if row[: n_keys + 1] != key:
                 if key is not None:
-                    yield (*key, pack(total))
-                key, total = row[: n_keys + 1], np.zeros(CELLS, np.int64)
-            total += unpack(row[n_keys + 1])
+                    yield (*key, total.pack())
+                key, total = row[: n_keys + 1], None
+            own = Sketch.unpack(row[n_keys + 1])
+            total = own if total is None else total.add(own)
         if key is not None:
-            yield (*key, pack(total))
+            yield (*key, total.pack())
 
     return streamed(parts.select(*keys, "metric", "cells"), [*keys, "metric"], schema, work)
 
@@ -233,7 +289,7 @@ def result_fields(q: tuple) -> list[T.StructField]:
 
 def percentiles(parts: DataFrame, keys: list[str], over: str | None = None, q: tuple = QUANTILES) -> DataFrame:
     """Percentiles of sketches: ``keys`` (and ``over``), ``metric``, ``n``, one column a quantile (``p50`` ...),
-    ``rank_error`` (bound of the rank error as a share of n) and ``value_error`` (of the relative value error).
+    ``rank_error`` (bound of the rank error as a share of n, 0 where all codes are held exactly; see SIGMAS) and ``value_error`` (of the relative value error).
 
     With ``over``, rows of each ``over`` (``scope`` = ``over``'s name) and, from the same pass, of the sum over all of
     them (``scope`` = ``all``, ``over`` null). Sketches that sum to no weight give no row.
@@ -243,25 +299,23 @@ def percentiles(parts: DataFrame, keys: list[str], over: str | None = None, q: t
     schema = T.StructType([*key_fields(parts, keys), T.StructField("metric", T.StringType()), *extra, *result_fields(q)])
 
     def work(rows):
-        dyadic = Dyadic()
-
-        def line(key, more, cells):
-            n, values, bound = dyadic.quantiles(cells, q)
+        def line(key, more, sketch):
+            n, values, bound = sketch.quantiles(q)
             if n > 0:
-                yield (*key, *more, n, *map(float, values), bound, error)
+                yield (*key, *more, n, *values, bound, error)
 
-        key, total, days = None, None, {}
+        key, total = None, None
         for row in rows:
             if row[: n_keys + 1] != key:
                 if key is not None and over is not None:
                     yield from line(key, (None, "all"), total)
-                key, total = row[: n_keys + 1], np.zeros(CELLS, np.int64)
-            cells = unpack(row[-1])
+                key, total = row[: n_keys + 1], None
+            own = Sketch.unpack(row[-1])
             if over is None:
-                yield from line(key, (), cells)
+                yield from line(key, (), own)
             else:
-                total += cells
-                yield from line(key, (row[n_keys + 1], over), cells)
+                yield from line(key, (row[n_keys + 1], over), own)
+                total = own if total is None else total.add(own)
         if key is not None and over is not None:
             yield from line(key, (None, "all"), total)
 
