@@ -23,9 +23,8 @@ INVISIBLE = (
     "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164"
     "\ufe00-\ufe0f\ufeff\uffa0\ufff9-\ufffb\U000e0000-\U000e0fff"
 )
-#: Test texts are taken in blocks of at most so many words; each block's vocabulary fits 16-bit word numbers.
-TEST_BLOCK_WORDS = 60_000
-#: Most characters of test text that one broadcast carries; larger test sets are searched in several passes.
+#: Characters of test text in one block, about: a block is gathered and broadcast at a time, larger test sets are searched
+#: in several passes. (A single longer text is a block of its own.)
 TEST_BLOCK_CHARS = 8_000_000
 
 
@@ -44,45 +43,36 @@ def word_cutter():
     return cut
 
 
-def test_blocks(items: list[tuple], passage: int) -> list[dict]:
-    """The test texts as word numbers, in blocks of bounded size: vocabulary, and for each searched suffix its first
-    ``passage`` words (0 beyond a shorter text), their count, item and offset."""
-    cut, blocks, rows, words, chars = word_cutter(), [], [], 0, 0
-
-    def close() -> None:
-        vocab: dict[str, int] = {}
-        keys, length, item, offset = [], [], [], []
-        for item_id, own in rows:
-            ids = [vocab.setdefault(w, len(vocab) + 1) for w in own]
-            for i in range(max(1, len(ids) - passage + 1)):
-                part = ids[i : i + passage]
-                keys.append(part + [0] * (passage - len(part)))
-                length.append(len(part))
-                item.append(item_id)
-                offset.append(i)
-        blocks.append({"vocab": vocab, "keys": np.array(keys, np.uint16), "length": np.array(length), "item": item, "offset": np.array(offset)})
-
-    for item_id, text in items:
-        own = cut(text)
-        if not own:
+def test_block(items: list[tuple], passage: int) -> dict | None:
+    """A block's test texts as word numbers: vocabulary, and for each searched suffix its first ``passage`` words (0
+    beyond a shorter text), their count, item and offset. Numbers take 16 bits where all words of the block fit, else 32."""
+    cut, vocab = word_cutter(), {}
+    rows = [(item_id, [vocab.setdefault(w, len(vocab) + 1) for w in cut(text)]) for item_id, text in items]
+    kind = np.uint16 if len(vocab) < 65_535 else np.uint32
+    keys, length, item, offset = [], [], [], []
+    for item_id, ids in rows:
+        if not ids:
             continue
-        if rows and (words + len(own) > TEST_BLOCK_WORDS or chars + len(text) > TEST_BLOCK_CHARS):
-            close()
-            rows, words, chars = [], 0, 0
-        rows.append((item_id, own))
-        words, chars = words + len(own), chars + len(text)
-    if rows:
-        close()
-    return blocks
+        n = max(1, len(ids) - passage + 1)
+        wide = np.zeros(n + passage - 1, kind)
+        wide[: len(ids)] = ids
+        keys.append(np.lib.stride_tricks.sliding_window_view(wide, passage))
+        length.append(np.full(n, min(len(ids), passage)))
+        item.extend([item_id] * n)
+        offset.append(np.arange(n))
+    if not keys:
+        return None
+    return {"vocab": vocab, "keys": np.concatenate(keys), "length": np.concatenate(length), "item": item, "offset": np.concatenate(offset)}
 
 
 def packed(keys: np.ndarray) -> list[np.ndarray]:
-    """Rows of word numbers as columns of four numbers each, so that comparing columns in turn compares word by word."""
-    out = []
-    for c in range(0, keys.shape[1], 4):
+    """Rows of word numbers as columns of as many numbers each as 64 bits hold, so that comparing columns in turn compares
+    word by word."""
+    out, bits = [], 8 * keys.dtype.itemsize
+    for c in range(0, keys.shape[1], 64 // bits):
         part = np.zeros(len(keys), np.uint64)
-        for k in range(4):
-            part <<= np.uint64(16)
+        for k in range(64 // bits):
+            part <<= np.uint64(bits)
             if c + k < keys.shape[1]:
                 part |= keys[:, c + k].astype(np.uint64)
         out.append(part)
@@ -97,7 +87,7 @@ def suffix_array(text: np.ndarray, depth: int, shortest: int) -> tuple[np.ndarra
     following = gap[np.searchsorted(gap, starts)]
     starts = starts[following - starts >= shortest]
     wide = np.concatenate([text, np.zeros(depth, text.dtype)])
-    columns = packed(np.stack([wide[starts + k] for k in range(depth)], axis=1)) if len(starts) else [np.zeros(0, np.uint64)] * -(-depth // 4)
+    columns = packed(np.stack([wide[starts + k] for k in range(depth)], axis=1)) if len(starts) else packed(np.zeros((0, depth), text.dtype))
     order = np.lexsort(columns[::-1])
     return starts[order], [c[order] for c in columns]
 
@@ -137,18 +127,23 @@ def leaked_passages(
 
     Null, empty and wordless texts on either side match nothing; an empty side gives no rows. A corpus row repeated in
     the input comes out repeated; ties between equally long matches go to the first place in the document, then in the
-    item. Texts of any length are searched whole; other columns are ignored. The test items come to the driver (they
-    are a small held-out set) and go out in blocks of at most ``TEST_BLOCK_CHARS`` characters, one pass a block.
+    item. Texts of any length are searched whole; other columns are ignored. The test items are dealt into blocks by a
+    hash of theirs; one block at a time is gathered and broadcast, and the corpus is searched once a block.
     """
     spark = corpus.sparkSession
-    # Ordered by id, so that blocks and ties are the same in every run.
-    items = [tuple(r) for r in tests.where(F.col(test_text_col).isNotNull()).select(item_col, test_text_col).distinct().orderBy(item_col, test_text_col).toLocalIterator()]
+    tests = tests.where(F.length(test_text_col) > 0).select(item_col, test_text_col).distinct()
+    blocks = -(-(tests.agg(F.sum(F.length(test_text_col))).first()[0] or 0) // TEST_BLOCK_CHARS)
+    dealt = tests.withColumn("block", F.pmod(F.xxhash64(item_col, test_text_col), F.lit(max(blocks, 1))))
     id_field, item_field = corpus.schema[id_col], tests.schema[item_col]
     schema = T.StructType([id_field, item_field, *(T.StructField(c, T.IntegerType()) for c in ("words", "at_word", "item_word"))])
     found = None
-    for block in test_blocks(items, passage):
-        part = one_pass(corpus.select(id_col, text_col), spark.sparkContext.broadcast(block), schema, passage)
-        found = part if found is None else found.unionByName(part)
+    for number in range(blocks):
+        # Ordered, so that ties are the same in every run.
+        items = dealt.where(F.col("block") == number).orderBy(item_col, test_text_col).select(item_col, test_text_col).collect()
+        block = test_block([tuple(r) for r in items], passage)
+        if block is not None:
+            part = one_pass(corpus.select(id_col, text_col), spark.sparkContext.broadcast(block), schema, passage)
+            found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], schema) if found is None else found
 
 
@@ -162,7 +157,7 @@ def one_pass(corpus: DataFrame, shared, schema: T.StructType, passage: int) -> D
         get, shortest = test["vocab"].get, int(test["length"].min())
         low_keys, high_keys = packed(test["keys"]), test["keys"].copy()
         for n in np.flatnonzero(test["length"] < passage):
-            high_keys[n, test["length"][n] :] = 65535
+            high_keys[n, test["length"][n] :] = np.iinfo(high_keys.dtype).max
         high_keys = packed(high_keys)
         for batch in batches:
             numbers, starts = [], []
@@ -170,7 +165,7 @@ def one_pass(corpus: DataFrame, shared, schema: T.StructType, passage: int) -> D
                 starts.append(len(numbers))
                 numbers.extend([get(w, 0) for w in cut(text)])
                 numbers.append(0)
-            shard = np.array(numbers, np.uint16)
+            shard = np.array(numbers, test["keys"].dtype)
             del numbers
             order, columns = suffix_array(shard, passage, shortest)
             first, last = search(columns, low_keys, False), search(columns, high_keys, True)

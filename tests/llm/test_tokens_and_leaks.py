@@ -91,12 +91,18 @@ def test_leaks_of_runs_whole_items_and_none(spark):
 
 
 def test_leaks_in_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(eval_leaks, "TEST_BLOCK_WORDS", 20)
+    monkeypatch.setattr(eval_leaks, "TEST_BLOCK_CHARS", 100)
     items = [(i, " ".join(f"q{i}x{k}" for k in range(14))) for i in range(6)]
     docs = [(i, "pre " + items[i][1] + " post") for i in range(6)]
     assert leaks(spark, docs, items) == {(i, i): 14 for i in range(6)}
 
 
+def test_an_item_of_more_words_than_16_bits_number(spark):
+    words = [f"n{i}" for i in range(70_000)]
+    docs = [(1, "before " + " ".join(words[69_980:69_999]) + " after"), (2, " ".join(words[65_530:65_541]) + " n1")]
+    assert leaks(spark, docs, [(9, " ".join(words)), (8, "a b c")]) == {(1, 9): 19}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abc"), min_size=0, max_size=40), st.lists(st.sampled_from("abc"), min_size=1, max_size=9))
 def test_binary_search_finds_every_place(text, wanted):
