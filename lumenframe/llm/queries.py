@@ -37,7 +37,13 @@ def p3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_lines.boilerplate(table(spark, sf_dir, "doc_pages"), table(spark, sf_dir, "doc_files"))
+    """By files, as TESTDATA defines the cases."""
+    return site_lines.boilerplate(table(spark, sf_dir, "doc_pages"), table(spark, sf_dir, "doc_files"), **site_lines.FILES)
+
+
+def p4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By clusters of near-duplicate files and days, the method's own setting."""
+    return site_lines.boilerplate(table(spark, sf_dir, "doc_pages"), table(spark, sf_dir, "doc_files"), similar=site_lines.SIMILAR, **site_lines.CLUSTERS)
 
 
 def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +84,7 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.join(template_residue.residue(documents), "doc_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p2_percentiles, p3_found, p3_conversations, p4_found, p4_clean, p5_found, p6_ids, p7_found, p7_clean, p7_clean_documents, p8_found, p8_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p2_percentiles, p3_found, p3_conversations, p4_found, p4_lines, p4_clean, p5_found, p6_ids, p7_found, p7_clean, p7_clean_documents, p8_found, p8_clean)}
 
 #: One speaker a spelling; the characters that show nothing; times in milliseconds.
 _P3_ROWS = r"""

@@ -31,12 +31,25 @@ def test_limits_and_empty_tables(spark):
     assert site_lines.boilerplate(pages.where("false"), files).count() == 0 and site_lines.boilerplate(pages, files.where("false")).count() == 0
 
 
-def test_copies_of_a_file_count_as_files_of_one_cluster(spark):
-    files = spark.createDataFrame([(f"d{i}", None, 1) for i in range(6)], "id string, source string, ingested_at long")
-    pages = spark.createDataFrame([(f"d{i}", 1, "the same five words here") for i in range(6)], "doc_id string, page int, text string")
-    row = site_lines.repeated_lines(pages, files).first()
-    assert (row["files"], row["clusters"], row["days"]) == (6, 1, 1)
-    assert site_lines.boilerplate(pages, files).count() == 6
+def test_six_names_of_one_article_are_no_boilerplate_by_clusters(spark):
+    files = spark.createDataFrame([(f"d{i}", None, 86_400 * i) for i in range(6)], "id string, source string, ingested_at long")
+    pages = spark.createDataFrame([(f"d{i}", 1, f"The same five words here, issue {i}\nand one more line of its text") for i in range(6)], "doc_id string, page int, text string")
+    lines, found = site_lines.counted_lines(pages, files)
+    assert [(r["files"], r["clusters"], r["days"]) for r in found.collect()] == [(6, 1, 1)] * 2 and lines.count() == 12
+    assert site_lines.boilerplate(pages, files, **site_lines.FILES).count() == 12
+    assert site_lines.boilerplate(pages, files, **site_lines.CLUSTERS).count() == 0
+
+
+def test_near_duplicates_collapse_and_notices_stay(spark):
+    body = " ".join(f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "klmnp")
+    texts = [(f"n{i}", f"{NOTICE}\n{body} {'abcdefgh'[i] * 4}\nReprinted words of this one article") for i in range(8)]
+    texts += [(f"o{i}", NOTICE + "\n" + " ".join("qrstuvwx"[i] + x for x in body.split())) for i in range(8)]
+    pages = spark.createDataFrame([(d, 1, t) for d, t in texts], "doc_id string, page int, text string")
+    files = spark.createDataFrame([(d, "src", 86_400 * i) for i, (d, _) in enumerate(texts)], "id string, source string, ingested_at long")
+    by_files = {(r["doc_id"], r["line_no"]) for r in site_lines.boilerplate(pages, files, **site_lines.FILES).collect()}
+    assert by_files == {(d, 1) for d, _ in texts} | {(f"n{i}", 3) for i in range(8)}
+    got = {(r["doc_id"], r["line_no"]) for r in site_lines.boilerplate(pages, files, similar=0.8, **site_lines.CLUSTERS).collect()}
+    assert got == {(d, 1) for d, _ in texts}
 
 
 CHECKS = "Checks before start-up:\n- the pump for a leak\n- the list with the laboratory chemist"
