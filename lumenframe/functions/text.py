@@ -60,14 +60,15 @@ def count_tokens(text: Column) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.floor(F.length(text) / LIMITS.chars_per_token).cast("int") + 1)
 
 
-def truncate_tokens(text: Column, budget: int) -> Column:
+def truncate_tokens(text: Column, budget: int | Column) -> Column:
     """The beginning of a text within a token budget, cut at a line end if one lies in the last 15 percent."""
-    at = min(int(budget * LIMITS.chars_per_token), budget * 12 + 512)
-    head = F.left(text, F.lit(at))
+    budget = budget if isinstance(budget, Column) else F.lit(budget)
+    at = F.least(F.floor(budget * LIMITS.chars_per_token), budget * 12 + 512).cast("int")
+    head = F.left(text, at)
     last = F.length(head) - F.locate("\n", F.reverse(head))
-    nearby = F.contains(head, F.lit("\n")) & (last > F.least(F.length(text), F.lit(at)) * 0.85)
+    nearby = F.contains(head, F.lit("\n")) & (last > F.least(F.length(text), at) * 0.85)
     cut = F.regexp_replace(F.when(nearby, F.left(head, last.cast("int"))).otherwise(head), r"[\s\p{Z}]+$", "")
-    return F.when(count_tokens(text) <= budget, text).otherwise(cut)
+    return F.when(budget <= 0, F.lit("")).when(count_tokens(text) <= budget, text).otherwise(cut)
 
 
 def tail_tokens(text: Column, budget: int) -> Column:
@@ -75,6 +76,30 @@ def tail_tokens(text: Column, budget: int) -> Column:
     return F.regexp_replace(F.right(text, F.lit(int(budget * LIMITS.chars_per_token))), r"^[\s\p{Z}]+", "")
 
 
+def fit(text: Column, path: Column, budget: int = LIMITS.tool_budget) -> Column:
+    """A text within a token budget: unchanged if it fits, else its beginning and a notice (fixed wording) that tells how
+    much is shown and where the whole is kept. The notice is measured with the path in it; the beginning shrinks up to
+    twice by what it is over; if that is not enough, the notice stands alone."""
+    total = count_tokens(text)
+
+    def notice(shown: Column) -> Column:
+        return F.concat(F.lit("\n\n[truncated: showing about "), shown.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" tokens. Full output written to "), path, F.lit(". Narrow the query or request specific pages to see the rest.]"))
+
+    def attempt(room: Column) -> Column:
+        body = truncate_tokens(text, F.greatest(room, F.lit(0)))
+        return F.concat(body, notice(count_tokens(body)))
+
+    room = F.lit(budget) - count_tokens(notice(F.lit(budget)))
+    state = F.struct(room.alias("room"), F.lit(None).cast("string").alias("content"))
+
+    def step(a: Column, _: Column) -> Column:
+        over = count_tokens(attempt(a["room"])) - budget
+        return F.when(a["content"].isNotNull(), a).otherwise(F.struct((a["room"] - over - 4).alias("room"), F.when(over <= 0, attempt(a["room"])).alias("content")))
+
+    shrunk = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), state, step, lambda a: a["content"])
+    return F.when(total <= budget, text).otherwise(F.coalesce(shrunk, strip(notice(F.lit(0)))))
+
+
 def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?;])\s+")
 
@@ -85,11 +110,12 @@ def snippet(text: Column, width: int = 320) -> Column:
     return F.when(F.length(flat) <= width, flat).otherwise(F.concat(F.left(flat, F.lit(width - 1)), F.lit("…")))
 
 
-def window(line: Column, terms: Column, budget: int) -> Column:
+def window(line: Column, terms: Column, budget: int | Column) -> Column:
     """A slice of one long line around the first term in it, with ellipses; it does not begin inside a word."""
-    width = max(80, int(budget * LIMITS.chars_per_token))
+    budget = budget if isinstance(budget, Column) else F.lit(budget)
+    width = F.greatest(F.lit(80), F.floor(budget * LIMITS.chars_per_token)).cast("int")
     places = F.filter(F.transform(terms, lambda t: F.instr(F.lower(line), t) - 1), lambda p: p >= 0)
-    start = F.greatest(F.lit(0), F.coalesce(F.array_min(places), F.lit(0)) - width // 3)
+    start = F.greatest(F.lit(0), F.coalesce(F.array_min(places), F.lit(0)) - F.floor(width / 3).cast("int"))
     blank = F.instr(F.substr(line, start + 1), F.lit(" ")) - 1
     begin = F.when((start > 0) & (blank >= 0) & (blank < 30), start + blank + 1).otherwise(start)
     end = F.least(F.length(line), start + width)

@@ -492,7 +492,7 @@ def reading_rows(spark, d):
     w AS (SELECT doc_id, page, table_no, max(k) AS width, count(*) - 1 AS n FROM rows GROUP BY ALL), pad AS (SELECT r.*, w.width, w.n, row || repeat(' | ', CAST(w.width - k AS INTEGER)) || ' |' AS full_row FROM rows r JOIN w USING (doc_id, page, table_no)),
     head AS (SELECT doc_id, page, table_no, n, full_row || chr(10) || '|' || repeat(' --- |', CAST(width AS INTEGER)) AS h FROM pad WHERE nth = 0),
     body AS (SELECT doc_id, page, table_no, CAST((nth - 1) // 40 AS INTEGER) AS block, min(nth) AS first_row, max(nth) AS last_row, string_agg(full_row, chr(10) ORDER BY nth) AS b FROM pad WHERE nth > 0 GROUP BY ALL)
-    SELECT h.doc_id, h.page, h.table_no, b.block, b.first_row, b.last_row, h.n AS rows, h.h || chr(10) || b.b || CASE WHEN h.n > 40 THEN printf('%s(rows %d-%d of %d)', chr(10), b.first_row, b.last_row, h.n) ELSE '' END AS text FROM head h JOIN body b USING (doc_id, page, table_no)""")
+    SELECT h.doc_id, h.page, h.table_no, b.block, b.first_row, b.last_row, h.n AS rows, CASE WHEN h.n > 40 THEN printf('(rows %d-%d of %d)%s', b.first_row, b.last_row, h.n, chr(10)) ELSE '' END || h.h || chr(10) || b.b AS text FROM head h JOIN body b USING (doc_id, page, table_no)""")
 def table_markdown(spark, d):
     placed = page_cells(spark, d)
     return markdown_of(placed, layout.table_runs(placed))

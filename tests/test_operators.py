@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import text as fx
+from lumenframe.functions import text as text_fx
 from lumenframe.operators import blocks, bm25, dense, evaluate, events, fusion, layout, routing, snippets, store
 from lumenframe.sources import readers, sinks
 from lumenframe.streaming import sessions as streams
@@ -120,8 +121,8 @@ def test_markdown_tables_split_with_header(spark):
     rows = [("t", 0, ["a|b", "c"]), ("t", 1, ["", " "])] + [("t", i, [f"{i}\n", "x", "y"]) for i in range(2, 52)]
     df = spark.createDataFrame(rows, "id string, row_no int, cells array<string>")
     out = blocks.markdown_tables(df, ["id"]).orderBy("block").collect()
-    assert len(out) == 2 and out[0]["rows"] == 50 and all(r["text"].startswith("| a\\|b | c |  |\n| --- | --- | --- |") for r in out)
-    assert out[1]["text"].endswith("(rows 41-50 of 50)")
+    assert len(out) == 2 and out[0]["rows"] == 50 and all(r["text"].split("\n", 1)[1].startswith("| a\\|b | c |  |\n| --- | --- | --- |") for r in out)
+    assert out[1]["text"].startswith("(rows 41-50 of 50)\n")
     alone = blocks.markdown_tables(df.where("row_no = 0"), ["id"]).collect()
     assert alone[0]["text"] == "| a\\|b | c |\n| --- | --- |" and alone[0]["rows"] == 0
 
@@ -172,14 +173,53 @@ def test_ordered_p95_is_a_value_of_the_data(spark):
     assert evaluate.ordered_p95(df, ["k"], "v").first()["p95"] == 9
 
 
-def test_snippets_keep_answer_and_budget():
+def test_snippets_keep_answer_and_budget(spark):
     text = "Heading\n" + "filler words without it\n" * 30 + "| tag | pressure |\n| --- | --- |\n| PSV-2103 | 12.5 barg |\nlast line"
-    out = snippets.focused(text, ["psv-2103", "pressure"], 40)
-    assert "12.5 barg" in out and len(out) / 3.4 < 48 and "..." in out
-    assert snippets.focused(text, [], 5).endswith(" …") and snippets.focused(text, ["psv-2103"], 0) == ""
-    hits = [{"doc_id": f"d{i}", "filename": "f", "page": i, "section": "", "score": 1 / (i + 1), "text": text} for i in range(20)]
-    body = snippets.payload(hits, ["psv-2103"])
-    assert len(body) / 3.4 <= 1001 and json.loads(body)["hits"][0]["doc_id"] == "d0"
+    asked = spark.createDataFrame([(1, "PSV-2103 pressure?", text), (2, "nothing of it", text), (3, "one PSV-2103", "one line PSV-2103 " * 99), (4, None, text), (5, "q", None)], "query_id long, question string, text string")
+    out = {r["query_id"]: r["snippet"] for r in snippets.with_snippets(asked, budget=40).collect()}
+    assert out[1] == "Heading\n...\n| tag | pressure |\n| --- | --- |\n| PSV-2103 | 12.5 barg |\nlast line"
+    assert out[2].endswith(" …") and out[2].startswith("Heading\nfiller") and out[3].endswith(" …") and out[5] is None
+    none = {r["query_id"]: r["snippet"] for r in snippets.with_snippets(asked, budget=0).collect()}
+    assert none[1] == none[3] == ""
+
+
+def test_a_long_line_is_shown_around_the_term(spark):
+    text = "start\n" + "x " * 200 + "PSV-2103 opens at 12 barg " + "y " * 200
+    row = snippets.with_snippets(spark.createDataFrame([("PSV-2103", text)], "question string, text string"), budget=40).first()
+    assert "PSV-2103" in row["snippet"] and len(row["snippet"]) / 3.4 <= 48 and row["snippet"].startswith("...") and row["snippet"].endswith("...")
+
+
+def test_payload_within_budget(spark):
+    text = "Heading\n" + "filler words without it\n" * 30 + "| PSV-2103 | 12.5 barg |\nlast line"
+    hits = [(1, "PSV-2103", i + 1, f"d{i}", "f", i, "", 1 / (i + 1), text) for i in range(20)] + [(2, "PSV-2103", 1, "z", "f", 1, None, 0.5, "short PSV-2103\ntext")]
+    df = spark.createDataFrame(hits, "query_id long, question string, rank int, doc_id string, filename string, page int, section string, score double, text string")
+    out = {r["query_id"]: json.loads(r["content"])["hits"] for r in snippets.payloads(df).collect()}
+    assert len(json.dumps({"hits": out[1]}, ensure_ascii=False)) / 3.4 <= 1001 and out[1][0]["doc_id"] == "d0" and len(out[1]) > 5
+    assert "12.5 barg" in out[1][0]["snippet"] and [h["doc_id"] for h in out[1]] == [f"d{i}" for i in range(len(out[1]))]
+    assert out[2][0]["snippet"] == "short PSV-2103\ntext"
+    cited = snippets.citations(snippets.payloads(df)).where("query_id = 1").collect()
+    assert [r["doc_id"] for r in cited] == ["d0", "d1", "d2", "d3", "d4"]
+
+
+def test_fit_tells_what_is_kept(spark):
+    got = lambda text, budget: one(spark, text_fx.fit(F.col("t"), F.lit("/tmp/x.txt"), budget), t=text)
+    long = "A sentence of some words. " * 200
+    assert got("short", 100) == "short" and got(None, 100) is None
+    cut = got(long, 200)
+    assert len(cut) / 3.4 <= 200 and cut.startswith("A sentence") and "of 1530 tokens. Full output written to /tmp/x.txt." in cut
+    assert got(long, 10).startswith("[truncated: showing about 0 of")
+
+
+def test_grid_names_blank_headers(spark):
+    grid = [["a|b", "", None], ["1\n2", " x "], ["", "", "", "more"]]
+    df = spark.createDataFrame([(grid,), ([],)], "g array<array<string>>")
+    rows = [r[0] for r in df.select(blocks.grid_markdown(F.col("g"))).collect()]
+    assert rows == ["| a\\|b | Col 2 | Col 3 | Col 4 |\n| --- | --- | --- | --- |\n| 1 2 | x |  |  |\n|  |  |  | more |", ""]
+
+
+def test_packed_sentences_stay_whole(spark):
+    text = "One two three. Four five six! Seven eight nine? " + "word " * 40 + "end. Last."
+    assert one(spark, blocks.packed(F.col("t"), 10), t=text) == ["One two three. Four five six!", "Seven eight nine?", "word " * 40 + "end.", "Last."]
 
 
 def test_layout_rows_join_by_first_cell(spark):
