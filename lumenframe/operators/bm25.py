@@ -1,36 +1,80 @@
-"""Lexical ranking (BM25, Okapi weights) as joins and grouped sums over postings."""
+"""Lexical ranking (BM25, Okapi weights) over a stored index: postings by buckets of tokens, term weights, corpus sizes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.config import LIMITS
 from lumenframe.functions import text as fx
-from lumenframe.session import spread
+from lumenframe.session import ensure_checkpoint_dir
+
+#: Buckets of tokens that an index is partitioned by; a search reads the buckets of its tokens. Large corpora take more.
+BUCKETS = 32
+
+
+def bucket(buckets: int):
+    return F.pmod(F.xxhash64("tok"), F.lit(buckets)).cast("int").alias("bucket")
 
 
 def postings(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``id``, ``tok``, ``tf``: how often each token stands in each text."""
-    # Two explodes keep single words out of the array functions. Nulls go here, so that no reader's join adds a filter of
-    # its own and all of them share one exchange.
-    texts = spread(corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    whole = texts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(fx.COMPOUND), 0)).alias("term"))
-    tokens = whole.where("id is not null and term is not null").select("id", F.explode(fx.compound_parts(F.col("term"))).alias("tok"))
-    return tokens.where("tok is not null").groupBy("id", "tok").agg(F.count("*").alias("tf"))
-
-
-def term_stats(posts: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``tok``, ``df``, ``idf``, over the whole corpus. A term of more than half of the texts has a negative weight and
-    takes a share of the mean weight of all terms instead."""
+    """``id``, ``tok``, ``tf`` (how often the token stands in the text), ``dl`` (tokens of the text)."""
+    tokens = fx.tokenize(F.col(text_col))
+    texts = corpus.select(F.col(id_col).alias("id"), tokens.alias("tokens")).where("id is not null and tokens is not null")
+    return texts.select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("tok")).groupBy("id", "dl", "tok").agg(F.count("*").alias("tf"))
+
+
+def build(corpus: DataFrame, path: str, id_col: str = "id", text_col: str = "text", buckets: int = BUCKETS) -> str:
+    """Write the index of a corpus to ``path``: ``postings`` (id, tok, tf, dl) and ``terms`` (tok, df, idf), partitioned by
+    token bucket, and ``sizes`` (n_docs, avgdl, buckets; written last, so that a broken build is none).
+
+    A term of more than half of the texts has a negative weight and takes a share of the mean weight of all terms
+    instead. Texts without tokens have no postings, but count in the sizes. A hot token's postings are several files.
+    """
+    spark = corpus.sparkSession
+    pieces = F.pmod(F.xxhash64("id"), F.lit(4))
+    posts = postings(corpus, id_col, text_col).select("*", bucket(buckets))
+    posts.repartition("bucket", pieces).sortWithinPartitions("bucket", "tok").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    posts = spark.read.parquet(f"{path}/postings")
     n = corpus.agg(F.count("*").alias("n_docs"))
-    # Asking for tf keeps the postings' exchange the same for all who use it, so that the texts are cut up once.
-    stats = posts.groupBy("tok").agg(F.count_if(F.col("tf") > 0).alias("df")).join(F.broadcast(n))
-    raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    stats = stats.select("tok", "df", raw.alias("raw"))
+    # One-row sides.
+    stats = posts.groupBy("tok", "bucket").agg(F.count("*").alias("df"), F.sum("tf").alias("uses")).join(F.broadcast(n))
+    stats = stats.select("tok", "bucket", "df", "uses", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = stats.agg(F.avg("raw").alias("mean"))
-    # Both broadcasts are one row.
-    return stats.join(F.broadcast(mean)).select("tok", "df", F.when(F.col("raw") < 0, LIMITS.bm25_epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    terms = stats.join(F.broadcast(mean)).select("tok", "bucket", "df", "uses", F.when(F.col("raw") < 0, LIMITS.bm25_epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    terms.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    uses = spark.read.parquet(f"{path}/terms").agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("uses"))
+    sizes = uses.join(F.broadcast(n)).select("n_docs", F.try_divide("uses", "n_docs").alias("avgdl"), F.lit(buckets).alias("buckets"))
+    sizes.coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
+    return path
+
+
+def refreshed(corpus: DataFrame, name: str, scan: DataFrame, id_col: str = "id", text_col: str = "text") -> str:
+    """The path of the corpus's index in the shared folder, built anew where the files of ``scan`` (the table that the
+    corpus is made of) are others than those of the stored one: their paths, sizes and times tell."""
+    spark = corpus.sparkSession
+    files = scan.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    print_ = files.agg(F.coalesce(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)")), F.lit(0)).alias("print")).first()["print"]
+    path = f"{ensure_checkpoint_dir(spark)}/bm25-{name}-{print_}"
+    return path if stored_sizes(spark, path) else build(corpus, path, id_col, text_col)
+
+
+def stored_sizes(spark: SparkSession, path: str):
+    """The sizes of an index, or None if none is there."""
+    try:
+        return spark.read.parquet(f"{path}/sizes").first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def terms(spark: SparkSession, path: str) -> DataFrame:
+    """``tok``, ``df``, ``idf`` of an index."""
+    return spark.read.parquet(f"{path}/terms").select("tok", "df", "idf")
 
 
 def rank(scored: DataFrame, by: str, limit: int, key: str = "query_id") -> DataFrame:
@@ -39,22 +83,24 @@ def rank(scored: DataFrame, by: str, limit: int, key: str = "query_id") -> DataF
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
 
-def search(corpus: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "text", limit: int = LIMITS.candidates) -> DataFrame:
-    """``query_id``, ``id``, ``score``, ``rank``: the best texts of each of ``queries`` (query_id, text).
+def search(spark: SparkSession, path: str, queries: DataFrame, limit: int = LIMITS.candidates) -> DataFrame:
+    """``query_id``, ``id``, ``score``, ``rank``: the best texts of an index for each of ``queries`` (query_id, text). Only
+    the buckets of asked tokens are read.
 
     A query's repeated tokens count as often as they stand. Texts that score nought or less are left out after the
     ranking; a query or corpus without tokens finds nothing.
     """
+    sizes = stored_sizes(spark, path)
     asked = queries.select("query_id", F.explode(fx.tokenize(F.col("text"))).alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("asked"))
-    posts = postings(corpus, id_col, text_col)
-    sizes = posts.groupBy("id").agg(F.sum("tf").alias("dl"))
-    # Texts without tokens have no postings, but count in the average length.
-    average = posts.agg(F.sum("tf").alias("all_tokens")).join(F.broadcast(corpus.agg(F.count("*").alias("n_docs")))).select((F.col("all_tokens") / F.col("n_docs")).alias("avgdl"))
-    weights = term_stats(posts, corpus).join(asked, "tok")
-    # Only the postings of asked tokens meet the lengths.
-    hits = posts.join(asked.select("tok").distinct(), "tok", "left_semi").join(sizes, "id").join(F.broadcast(average))
+    asked = asked.select("*", bucket(sizes["buckets"]))
+    wanted = spark.read.parquet(f"{path}/terms").join(asked, ["bucket", "tok"]).select("query_id", "tok", "bucket", (F.col("asked") * F.col("idf")).alias("weight"))
     k1, b = LIMITS.bm25_k1, LIMITS.bm25_b
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.select("id", "tok", part.alias("part")).join(weights, "tok")
-    scored = scored.groupBy("query_id", "id").agg(F.round(F.sum(F.col("asked") * F.col("idf") * F.col("part")), 6).alias("score"))
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(sizes["avgdl"])))
+    scored = spark.read.parquet(f"{path}/postings").join(wanted, ["bucket", "tok"]).groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * part), 6).alias("score"))
     return rank(scored, "score", limit).where(F.col("score") > 0)
+
+
+def search_corpus(corpus: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "text", limit: int = LIMITS.candidates) -> DataFrame:
+    """``search`` over an index that is built for this call."""
+    path = build(corpus, f"{ensure_checkpoint_dir(corpus.sparkSession)}/bm25-{uuid.uuid4().hex}", id_col, text_col)
+    return search(corpus.sparkSession, path, queries, limit)

@@ -21,15 +21,15 @@ def fuse(lists: dict[str, DataFrame], k: int = LIMITS.rrf_k, limit: int = LIMITS
     return bm25.rank(fused, "score", limit).withColumn("sources", F.array_sort(F.map_keys("ranks")))
 
 
-def hybrid(corpus: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, top_k: int = 5, mode: str = "hybrid") -> DataFrame:
+def hybrid(corpus: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, top_k: int = 5, mode: str = "hybrid", index: str | None = None) -> DataFrame:
     """The best passages of each query by both rankings: ``query_id``, ``id``, ``score``, ``rank``, ``dense_rank``,
-    ``sparse_rank``, ``sources``, and the corpus columns. ``mode``: hybrid, dense or sparse. Ids without a corpus row,
+    ``sparse_rank``, ``sources``, and the corpus columns. ``mode``: hybrid, dense or sparse; ``index``: the corpus's stored index, else one is built. Ids without a corpus row,
     or without a file name, are dropped; texts are fetched only for what is found."""
     lists = {}
     if mode in ("hybrid", "dense"):
         lists["dense"] = dense.search(vectors, query_vectors)
     if mode in ("hybrid", "sparse"):
-        lists["sparse"] = bm25.search(corpus, queries)
+        lists["sparse"] = bm25.search(corpus.sparkSession, index, queries) if index else bm25.search_corpus(corpus, queries)
     fused = fuse(lists)
     if "filename" in corpus.columns:
         corpus = corpus.where("filename is not null and filename <> ''")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions import text as fx
 from lumenframe.operators import blocks as bx
 from lumenframe.operators import bm25, dense, evaluate, events, fusion, layout, routing, snippets, store
-from lumenframe.session import ensure_checkpoint_dir, table
+from lumenframe.session import ensure_checkpoint_dir, spread, table
 from lumenframe.sources import readers, sinks
 from lumenframe.streaming import sessions as streams
 
@@ -573,10 +573,13 @@ def corpus(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "filename", "source")
 
 
+def corpus_index(spark, d) -> str:
+    return bm25.refreshed(spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), "text"), "documents", table(spark, d, "documents"))
+
+
 @query(f"WITH {BM25} SELECT tok, df, round(idf, 9) AS idf FROM stats")
 def bm25_term_stats(spark, d):
-    c = corpus(spark, d)
-    return bm25.term_stats(bm25.postings(c), c).select("tok", "df", F.round("idf", 9).alias("idf"))
+    return bm25.terms(spark, corpus_index(spark, d)).select("tok", "df", F.round("idf", 9).alias("idf"))
 
 
 SPARSE = f"""{BM25}, q AS (SELECT query_id, tok, count(*) AS asked FROM (SELECT item_id AS query_id, unnest({TOKENS}) AS tok FROM eval_items WHERE item_id % 50 = 0) GROUP BY ALL),
@@ -591,7 +594,7 @@ def asked(spark, d):
 
 @query(f"WITH {SPARSE} SELECT query_id, id, score, rank FROM found")
 def bm25_search(spark, d):
-    return bm25.search(corpus(spark, d), asked(spark, d))
+    return bm25.search(spark, corpus_index(spark, d), asked(spark, d))
 
 
 DENSE = """qv AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0), dv AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -619,7 +622,7 @@ def query_vectors(spark, d):
 
 @query(f"WITH {HYBRID} SELECT query_id, id, score, dense_rank, sparse_rank, sources, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 30")
 def fused_ranks(spark, d):
-    lists = {"dense": dense.search(vectors(spark, d), query_vectors(spark, d)), "sparse": bm25.search(corpus(spark, d), asked(spark, d))}
+    lists = {"dense": dense.search(vectors(spark, d), query_vectors(spark, d)), "sparse": bm25.search(spark, corpus_index(spark, d), asked(spark, d))}
     f = fusion.fuse(lists)
     return f.select("query_id", "id", "score", F.col("ranks")["dense"].alias("dense_rank"), F.col("ranks")["sparse"].alias("sparse_rank"), F.array_join("sources", ",").alias("sources"), "rank")
 
@@ -627,7 +630,7 @@ def fused_ranks(spark, d):
 @query(rf"""WITH {HYBRID}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM fused QUALIFY r <= 30)
     SELECT t.query_id, t.id, t.score, row_number() OVER (PARTITION BY t.query_id ORDER BY t.score DESC, t.id) AS rank, t.dense_rank, t.sparse_rank, d.filename FROM top t JOIN documents d ON t.id = d.doc_id WHERE d.filename IS NOT NULL AND d.filename <> '' QUALIFY rank <= 10""")
 def hybrid_search(spark, d):
-    h = fusion.hybrid(corpus(spark, d), vectors(spark, d), asked(spark, d), query_vectors(spark, d), top_k=10)
+    h = fusion.hybrid(corpus(spark, d), vectors(spark, d), asked(spark, d), query_vectors(spark, d), top_k=10, index=corpus_index(spark, d))
     return h.select("query_id", "id", "score", "rank", "dense_rank", "sparse_rank", "filename")
 
 
@@ -638,7 +641,8 @@ def title_hits(spark, d) -> DataFrame:
     first = table(spark, d, "doc_pages").where("page = 1 and text is not null").select(F.col("doc_id").alias("id"), F.substring_index(F.ltrim("text"), "\n", 2).alias("text")).distinct()
     questions = files.join(first, "id").groupBy(F.col("id").alias("query_id")).agg(F.min("text").alias("text"), F.min("filename").alias("expected_doc"), F.min("source").alias("kind"))
     chunks = table(spark, d, "chunks").select("id", "text", "filename", "page", "page_end", "doc_id", "section")
-    found = bm25.search(chunks.select("id", "text"), questions.select("query_id", "text"), limit=10)
+    index = bm25.refreshed(spread(table(spark, d, "chunks")).select("id", "text"), "chunks", table(spark, d, "chunks"))
+    found = bm25.search(spark, index, questions.select("query_id", "text"), limit=10)
     return found.join(chunks, "id"), questions.select("query_id", "expected_doc", "kind", F.col("text").alias("question"), F.lit(1).alias("expected_page"))
 
 

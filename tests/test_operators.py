@@ -65,9 +65,18 @@ def test_wrap_is_greedy(spark):
 def test_bm25_exact_tag_wins_and_empty_corpus(spark):
     corpus = spark.createDataFrame([("a", "PSV-2103 set pressure 12.5 barg"), ("b", "the pump was set aside"), ("c", "flare header line list"), ("d", None)], "id string, text string")
     asked = spark.createDataFrame([(1, "PSV-2103 set pressure"), (2, ""), (3, None)], "query_id long, text string")
-    rows = bm25.search(corpus, asked).orderBy("query_id", "rank").collect()
+    rows = bm25.search_corpus(corpus, asked).orderBy("query_id", "rank").collect()
     assert rows[0]["id"] == "a" and {r["query_id"] for r in rows} == {1}
-    assert bm25.search(corpus.where("false"), asked).count() == 0
+    assert bm25.search_corpus(corpus.where("false"), asked).count() == 0
+
+
+def test_stored_index_is_kept_until_the_corpus_changes(spark, tmp_path):
+    spark.createDataFrame([("a", "PSV-2103 set pressure"), ("b", "other words")], "id string, text string").coalesce(1).write.parquet(str(tmp_path / "c"))
+    read = lambda: spark.read.parquet(str(tmp_path / "c"))
+    first = bm25.refreshed(read(), "t", read())
+    assert bm25.refreshed(read(), "t", read()) == first and {r["tok"] for r in bm25.terms(spark, first).collect()} == {"psv-2103", "psv", "2103", "set", "pressure", "other", "words"}
+    spark.createDataFrame([("c", "set of tools")], "id string, text string").write.mode("append").parquet(str(tmp_path / "c"))
+    assert bm25.refreshed(read(), "t", read()) != first
 
 
 def test_fusion_formula_and_limit(spark):
