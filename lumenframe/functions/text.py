@@ -233,3 +233,74 @@ def stream_pieces(text: Column) -> Column:
 def canonical_json(entries: Column) -> Column:
     """A map as JSON with sorted keys, so that equal calls have equal signatures."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
+
+
+#: The mark of doubtful text, the reasons of an end, what a model's capabilities say of it, and the words that
+#: tell what a message asks for, each list in order.
+LOW_CONF_NOTE = "[?] low-confidence OCR, verify against the source page:\n"
+STOP_REASONS = ("final_answer", "max_steps", "error", "cancelled")
+CAPABILITY_BLURBS = (
+    ("vision", "reads images and scanned pages"), ("code", "writes and reviews code"), ("document", "answers questions from your documents"),
+    ("data", "works through tables and numbers"), ("fast", "answers short general questions quickly on the least VRAM"), ("general", "general questions and drafting"),
+)
+SCENARIO_WORDS = (
+    ("failure", ("fail", "timeout", "error", "recover")),
+    ("code", ("code", "python", "script", "downtime", "plot", "chart")),
+    ("document", ("document", "sop", "wall loss", "thickness", "pdf", "cite", "citation", "report", "docx", "approval")),
+)
+
+
+def marked_low(text: Column, low: Column) -> Column:
+    """A text with a note in front of it where its recognition is doubtful."""
+    return F.when(F.coalesce(low, F.lit(False)), F.concat(F.lit(LOW_CONF_NOTE), text)).otherwise(text)
+
+
+def stop_mark(text: Column) -> tuple[Column, Column]:
+    """The reason in a message's leading stop mark (null without one), and the message without it."""
+    mark = r"^\[stopped: (" + "|".join(STOP_REASONS) + r")\]\s*"
+    return F.nullif(F.regexp_extract(text, mark, 1), F.lit("")), F.regexp_replace(text, mark, "")
+
+
+def capability_sentence(capabilities: Column) -> Column:
+    """What a model is for: the blurbs of its first two capabilities in the fixed order, as one sentence."""
+    known = F.filter(F.array(*(F.when(F.array_contains(capabilities, c), F.lit(text)) for c, text in CAPABILITY_BLURBS)), lambda b: b.isNotNull())
+    joined = F.array_join(F.slice(known, 1, 2), " and ")
+    return F.when(F.size(known) == 0, "No capabilities declared.").otherwise(F.concat(F.upper(F.left(joined, F.lit(1))), F.substr(joined, F.lit(2)), F.lit(".")))
+
+
+def scenario(message: Column) -> Column:
+    """What a message asks for, by the first list that a word of stands in it."""
+    low, out = F.lower(message), F.lit("simple")
+    for name, words in reversed(SCENARIO_WORDS):
+        out = F.when(low.rlike("|".join(words)), name).otherwise(out)
+    return out
+
+
+def page_list(text: Column) -> Column:
+    """The pages of a list such as "1, 3,5"; null if one of them is no number."""
+    parts = F.filter(F.split(F.replace(text, F.lit(" "), F.lit("")), ","), lambda p: p != "")
+    pages = F.transform(parts, lambda p: p.try_cast("int"))
+    return F.when(~F.exists(pages, lambda p: p.isNull()), pages)
+
+
+def clamped(value: Column, low: int, high: int) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
+def or_default(limit: Column, default: int = LIMITS.candidates) -> Column:
+    """A limit of none or nought means the default."""
+    return F.coalesce(F.nullif(limit, F.lit(0)), F.lit(default))
+
+
+def gigabytes(megabytes: Column) -> Column:
+    return F.format_string("%.1f GB", megabytes / 1024)
+
+
+def context_size(tokens: Column) -> Column:
+    return F.when(tokens >= 1024, F.concat(F.floor(tokens / 1024 + 0.5).cast("string"), F.lit("K ctx"))).otherwise(F.concat(tokens.cast("string"), F.lit(" ctx")))
+
+
+def collision_name(name: Column, taken: Column, key: Column) -> Column:
+    """A file's own name or, where that is taken, its stem, eight hex digits of ``key``, and its suffix."""
+    own = base_name(name)
+    return F.when(taken, F.concat(stem(own), F.lit("-"), F.left(F.sha2(key, 256), F.lit(8)), F.regexp_extract(own, r"(?<=.)(\.[^.]+)$", 1))).otherwise(own)

@@ -61,3 +61,9 @@ def answer_present(outputs: DataFrame) -> DataFrame:
     keys = outputs.withColumn("keys", fx.answer_keys(F.col("answer"))).where(F.size("keys") > 0)
     found = F.size(F.filter("keys", lambda k: F.contains(F.lower(F.col("output")), F.lower(k))))
     return keys.select("query_id", (found >= F.greatest(F.lit(1), F.floor(F.size("keys") / 2))).alias("present"))
+
+
+def gate(measures: DataFrame, column: str, least: float) -> DataFrame:
+    """``measures``, but an error where ``column`` is below ``least``."""
+    low = F.col(column) < least
+    return measures.where(F.when(low, F.raise_error(F.concat(F.lit(f"{column} is "), F.col(column).cast("string"), F.lit(f", least {least}")))).otherwise(F.lit(True)))

@@ -117,3 +117,22 @@ def reading_rows(placed: DataFrame, tolerance: float = 3.0) -> DataFrame:
     flat = pages.select("doc_id", "page", F.explode(F.aggregate("cells", start, step, lambda a: a["out"])).alias("c"))
     rows = flat.groupBy("doc_id", "page", F.col("c.row").alias("row_no")).agg(F.array_sort(F.collect_list(F.struct("c.x0", "c.text"))).alias("t"))
     return rows.select("doc_id", "page", "row_no", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))
+
+
+#: Points that an item may begin before its column's edge.
+EDGE_SLACK = 2.0
+
+
+def column_of(starts, x):
+    """The column (from 0) of an item at ``x``: the last whose start (sorted array) is not beyond it; 0 with one column."""
+    return F.when(F.size(starts) < 2, 0).otherwise(F.greatest(F.lit(0), F.size(F.filter(starts, lambda s: s <= x + EDGE_SLACK)) - 1)).cast("int")
+
+
+def reading_order(placed: DataFrame, edges: DataFrame) -> DataFrame:
+    """``doc_id``, ``page``, ``line_no``, ``cell_no``, ``column``, ``place``: a page's cells column by column, from top to
+    bottom, ties as they came. A page's cells are few, so its order is one small window."""
+    starts = edges.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list("x")).alias("starts"))
+    column = column_of(F.coalesce("starts", F.array().cast("array<double>")), F.col("x0"))
+    held = placed.join(starts, ["doc_id", "page"], "left").withColumn("column", column)
+    w = Window.partitionBy("doc_id", "page").orderBy("column", "mid_y", "cell_no")
+    return held.select("doc_id", "page", "line_no", "cell_no", "column", F.row_number().over(w).alias("place"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, NGram, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +61,18 @@ def classify(model: PipelineModel, rows: DataFrame, label: str) -> DataFrame:
     return scored.withColumn("confidence", F.array_max(chances)).withColumn("predicted", F.element_at(names, F.col("prediction").cast("int") + 1)).select(*rows.columns, "predicted", "confidence")
 
 
+def fit_vectors(labelled: DataFrame, vector: str, label: str, key: str, strength: float = 10.0) -> PipelineModel:
+    """A classifier over given vectors (arrays), of at most FIT_ROWS labelled rows; ``strength`` is the inverse of the
+    regularisation of all rows together."""
+    few = labelled.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).orderBy(F.xxhash64(key), key).limit(FIT_ROWS)
+    few = few.withColumn("features", array_to_vector(vector))
+    stages = [
+        StringIndexer(inputCol=label, outputCol="label_index", handleInvalid="skip", stringOrderType="alphabetAsc"),
+        LogisticRegression(labelCol="label_index", featuresCol="features", maxIter=100, regParam=1.0 / (strength * max(few.count(), 1))),
+    ]
+    return Pipeline(stages=stages).fit(few)
+
+
 def cheapest_capable(needs: DataFrame, models: DataFrame) -> DataFrame:
     """``need``, ``model_id``, ``alternatives`` of each need: the capable model of least size (then the first in order), the
     other capable ones by size."""

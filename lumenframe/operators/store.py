@@ -85,3 +85,17 @@ def half_open_year(column: Column, year: int) -> Column:
     """Times (unix seconds) of a year: from its first second, up to the next year's first second."""
     first = lambda y: F.unix_timestamp(F.make_timestamp(F.lit(y), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
     return (column >= first(year)) & (column < first(year + 1))
+
+
+def picked(df: DataFrame, column: str, wanted: list, empty_is_all: bool) -> DataFrame:
+    """The rows whose ``column`` is among ``wanted``; an empty list means all rows, or none."""
+    if wanted:
+        return df.where(F.col(column).isin(*wanted))
+    return df if empty_is_all else df.limit(0)
+
+
+def required(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` joined to ``right`` on ``key``; a left row without a partner is an error, not a lost row."""
+    found = right.withColumn("found", F.lit(True))
+    joined = left.join(found, key, "left")
+    return joined.where(F.when(F.col("found").isNull(), F.raise_error(F.concat(F.lit(f"no {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))).otherwise(F.lit(True))).drop("found")

@@ -55,6 +55,7 @@ def csv_tables(spark: SparkSession, folder: str) -> DataFrame:
     return bx.markdown_tables(rows, ["doc_id"]).select("doc_id", "block", "text", fx.stem(F.col("doc_id")).alias("section"))
 
 
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 XML_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "w": "http://schemas.openxmlformats.org/wordprocessingml/2006/main"}
 
 
@@ -65,10 +66,15 @@ def sheet_rows(content: bytes) -> list[tuple[str, int, list[str]]]:
     if "xl/sharedStrings.xml" in archive.namelist():
         for item in ET.fromstring(archive.read("xl/sharedStrings.xml")).findall("m:si", XML_NS):
             shared.append("".join(t.text or "" for t in item.iter(f"{{{XML_NS['m']}}}t")))
-    names = [s.get("name") for s in ET.fromstring(archive.read("xl/workbook.xml")).iter(f"{{{XML_NS['m']}}}sheet")]
+    # A sheet's part is named by its relationship, whatever its number; without relationships parts are numbered.
+    sheets = list(ET.fromstring(archive.read("xl/workbook.xml")).iter(f"{{{XML_NS['m']}}}sheet"))
+    links = {}
+    if "xl/_rels/workbook.xml.rels" in archive.namelist():
+        links = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
     out = []
-    for number, name in enumerate(names, 1):
-        tree = ET.fromstring(archive.read(f"xl/worksheets/sheet{number}.xml"))
+    for number, sheet in enumerate(sheets, 1):
+        name, target = sheet.get("name"), links.get(sheet.get(RELATION), f"worksheets/sheet{number}.xml")
+        tree = ET.fromstring(archive.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
         for at, row in enumerate(tree.iter(f"{{{XML_NS['m']}}}row")):
             cells: list[str] = []
             for cell in row.findall("m:c", XML_NS):
@@ -117,8 +123,13 @@ def word_blocks(content: bytes) -> list[tuple[int, str, str, str]]:
             section = say(node) if heading else section
             out.append((len(out), "heading" if heading else "paragraph", say(node), section))
         elif node.tag == f"{w}tbl":
-            rows = [" | ".join(say(cell) for cell in row.findall("w:tc", XML_NS)) for row in node.findall("w:tr", XML_NS)]
-            out.append((len(out), "table", "\n".join(f"| {r} |" for r in rows), section))
+            rows = [[say(cell).replace("|", "\\|").replace("\n", " ") for cell in row.findall("w:tc", XML_NS)] for row in node.findall("w:tr", XML_NS)]
+            rows = [r for r in rows if any(r)]
+            width = max(map(len, rows), default=0)
+            lines = [f"| {' | '.join(r + [''] * (width - len(r)))} |" for r in rows]
+            if lines:
+                lines.insert(1, f"| {' | '.join(['---'] * width)} |")
+                out.append((len(out), "table", "\n".join(lines), section))
     return out
 
 
@@ -136,6 +147,15 @@ def document_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("path", "content").mapInArrow(run, "doc_id string, ord int, kind string, text string, section string")
 
 
+def folder_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The blocks of all textual files of a folder, each read by its suffix: ``doc_id``, ``ord``, ``kind``, ``text``,
+    ``section``. Markdown has headings and tables, plain text paragraphs only."""
+    pages = text_pages(files(spark, folder))
+    plain = bx.plain_blocks(pages.where("suffix = '.txt'")).unionByName(bx.plain_blocks(pages.where("suffix = '.md'"), markdown=True)).select("doc_id", "ord", "kind", "text", "section")
+    as_table = lambda df: df.select("doc_id", F.col("block").alias("ord"), F.lit("table").alias("kind"), "text", "section")
+    return plain.unionByName(as_table(csv_tables(spark, folder))).unionByName(as_table(workbook_tables(spark, folder))).unionByName(document_blocks(spark, folder).select("doc_id", "ord", "kind", "text", "section"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, needed: str | None = None) -> DataFrame:
     """JSON lines with a stated schema; blank and broken lines are skipped, and rows whose ``needed`` field is missing or
     a placeholder."""

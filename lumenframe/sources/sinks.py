@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import text as fx
+from lumenframe.session import cut
 
 
 def bucketed(df: DataFrame, key: str, buckets: int = 256) -> DataFrame:
@@ -21,20 +25,41 @@ def replace_by_key(df: DataFrame, path: str, key: str, buckets: int = 256) -> No
     try:
         old = spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi")  # at most one row a bucket
         keep = old.join(new.select(key).distinct(), key, "left_anti").select(*new.columns)
-        from lumenframe.session import cut
-
         new = cut(keep.unionByName(new))
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
     new.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def append_trail(events: DataFrame, path: str) -> None:
-    """Append events to a trail that is never rewritten: ``ts``, ``session_id``, ``kind``, ``payload_json`` and a sequence
-    number that grows with time."""
-    order = F.struct("ts", "session_id", "kind", "payload_json")
-    events.withColumn("seq", F.xxhash64(order)).select("seq", "ts", "session_id", "kind", "payload_json").write.mode("append").parquet(path)
+def append_trail(events: DataFrame, path: str, order: tuple[str, ...] = ("ts", "session_id", "kind", "payload_json")) -> None:
+    """Append events to a trail that is never rewritten, each with ``seq``, a number that grows from batch to batch and,
+    within one, by ``order``. The batch is sorted by ranges; a range's numbers begin after those of the ranges before it,
+    whose sizes (one number each) are all that is gathered. Trails have one writer."""
+    spark = events.sparkSession
+    # Cut, as ranges and their rows must be the same for counting and numbering.
+    held = cut(events.repartitionByRange(*order).sortWithinPartitions(*order)).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
+    sizes = held.groupBy("part").agg(F.count("*").alias("n"), F.min("place").alias("first")).orderBy("part").collect()
+    last = highest(spark, path)
+    begins = list(accumulate((r["n"] for r in sizes), initial=last + 1))
+    offsets = spark.createDataFrame([(r["part"], begin - r["first"]) for r, begin in zip(sizes, begins, strict=False)], "part int, shift long")
+    numbered = held.join(F.broadcast(offsets), "part").withColumn("seq", F.col("place") + F.col("shift"))
+    numbered.select("seq", *events.columns).write.mode("append").parquet(path)
+
+
+def highest(spark, path: str) -> int:
+    """The highest number of a trail, 0 if there is none yet."""
+    try:
+        return spark.read.parquet(path).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+
+
+def upsert_vectors(vectors: DataFrame, path: str, key: str = "id", buckets: int = 256) -> None:
+    """Write vectors (``key``, ``vector``, payload columns) so that each key has its new one; null vectors are left out."""
+    replace_by_key(vectors.where("vector is not null"), path, key, buckets)
 
 
 def content_name(text: Column, prefix: str) -> Column:
@@ -48,8 +73,8 @@ def spill(texts: DataFrame, text_col: str, prefix: str, path: str) -> None:
     try:
         known = texts.sparkSession.read.parquet(path).select("name")
         once = once.join(known, "name", "left_anti")
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
     once.write.mode("append").parquet(path)
 

@@ -6,6 +6,7 @@ import json
 import zipfile
 
 from pyspark.sql import Window
+import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.functions import text as fx
@@ -347,3 +348,55 @@ def test_stream_equals_batch(spark, tmp_path):
     want = streams.batch_view(df)
     key = lambda r: r["session_id"]
     assert sorted(got.select(want.columns).collect(), key=key) == sorted(want.collect(), key=key)
+
+
+def test_trail_numbers_grow_with_time_and_batches(spark, tmp_path):
+    path = str(tmp_path / "trail")
+    first = spark.createDataFrame([(t, "s", "k", "{}") for t in (5, 3, 9, 1, 7, 7)], "ts long, session_id string, kind string, payload_json string")
+    sinks.append_trail(first.repartition(3), path)
+    sinks.append_trail(first.where("ts < 4"), path)
+    sinks.append_trail(first.where("false"), path)
+    rows = spark.read.parquet(path).orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == list(range(1, 9)) and [r["ts"] for r in rows] == [1, 3, 5, 7, 7, 9, 1, 3]
+
+
+def test_lost_partners_and_low_measures_are_errors(spark):
+    left, right = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(1, "a"), (3, "b")], "k long, v string")
+    assert [tuple(r) for r in store.required(left.where("k = 1"), right, "k").collect()] == [(1, "a")]
+    with pytest.raises(Exception, match="no k 2"):
+        store.required(left, right, "k").collect()
+    assert evaluate.gate(left, "k", 1).count() == 2
+    with pytest.raises(Exception, match="k is 1"):
+        evaluate.gate(left, "k", 2).collect()
+
+
+def test_picked_empty_lists(spark):
+    df = spark.createDataFrame([(1,), (2,), (3,)], "page int")
+    assert [store.picked(df, "page", w, e).count() for w, e in (([1, 3], True), ([], True), ([], False))] == [2, 3, 0]
+
+
+def test_small_scalars(spark):
+    row = spark.createDataFrame([("[stopped: max_steps]  Half an answer", "1, 3,5", "1,x", "", "a/b/pump.tar.pdf", 5903, 4096, 900)], "m string, p string, q string, e string, f string, mb int, c int, d int").select(
+        text_fx.stop_mark(F.col("m"))[0].alias("why"), text_fx.stop_mark(F.col("m"))[1].alias("rest"), text_fx.page_list(F.col("p")).alias("p"), text_fx.page_list(F.col("q")).alias("q"), text_fx.page_list(F.col("e")).alias("e"),
+        text_fx.collision_name(F.col("f"), F.lit(True), F.lit("k")).alias("f"), text_fx.gigabytes(F.col("mb")).alias("gb"), text_fx.context_size(F.col("c")).alias("c"), text_fx.context_size(F.col("d")).alias("d"),
+        text_fx.capability_sentence(F.array(F.lit("data"), F.lit("vision"), F.lit("code"))).alias("s"), text_fx.scenario(F.lit("Plot the ERROR chart")).alias("sc"), text_fx.marked_low(F.lit("x"), F.lit(True)).alias("low"),
+    ).first()
+    assert (row["why"], row["rest"], row["p"], row["q"], row["e"]) == ("max_steps", "Half an answer", [1, 3, 5], None, [])
+    assert row["f"].startswith("pump.tar-") and row["f"].endswith(".pdf") and len(row["f"]) == len("pump.tar-12345678.pdf")
+    assert (row["gb"], row["c"], row["d"], row["sc"]) == ("5.8 GB", "4K ctx", "900 ctx", "failure")
+    assert row["s"] == "Reads images and scanned pages and writes and reviews code." and row["low"].startswith("[?] low-confidence")
+
+
+def test_folder_is_read_by_suffix(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\n\ntwo")
+    (tmp_path / "b.md").write_text("# Head\n\ntext")
+    (tmp_path / "c.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "d.exe").write_text("no")
+    rows = readers.folder_blocks(spark, str(tmp_path)).orderBy("doc_id", "ord").collect()
+    assert [(r["doc_id"][-5:], r["kind"]) for r in rows] == [("a.txt", "paragraph"), ("a.txt", "paragraph"), ("/b.md", "heading"), ("/b.md", "paragraph"), ("c.csv", "table")]
+    assert rows[3]["section"] == "Head" and rows[4]["text"] == "| x | y |\n| --- | --- |\n| 1 | 2 |"
+
+
+def test_columns_by_start_edge(spark):
+    row = spark.range(1).select(*(layout.column_of(F.array(F.lit(0.0), F.lit(100.0)), F.lit(x)).alias(n) for n, x in (("a", 5.0), ("b", 98.5), ("c", 300.0), ("d", -9.0))), layout.column_of(F.array(F.lit(50.0)), F.lit(99.0)).alias("e")).first()
+    assert tuple(row) == (0, 1, 1, 0, 0)

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 from lumenframe import queries
-from lumenframe.plans import reports  # noqa: F401
+from lumenframe.plans import lookups, reports  # noqa: F401
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
