@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.session import cut
+from lumenframe.session import stored
 
 #: Characters taken for one another, by the sign that stands for all of them ...
 ALIKE = (("i", "l1!|"), ("o", "a0"), ("s", "5"), ("z", "2"), ("g", "9q"), ("t", "f"), ("c", "e"))
@@ -49,6 +49,10 @@ D = "[0-9OlISB]"
 NUMBER = rf"^(?:[A-Z]{{1,4}}-)?{D}+(?:[-./,:](?:[A-Z]-)?{D}+)*[AB]?$"
 REGULAR = r"^\W*(?:(?:[A-Z]{1,4}-)?[0-9]+(?:[-./,:](?:[A-Z]-)?[0-9]+)*|[A-Z]{1,4}-[0-9]{4}[AB])\W*$"
 PAGE_NUMBER = r"(?i)^\W*(?:p[ao0][gq9][ec]|p\.|seite|blatt|página|sheet)?\s*\W?\s*([0-9OlISB|]{1,4}|[ivxlc]{1,7})\s*(?:(?:[oa0][ft]|/|von|de|sur)\s*[0-9OlISB|]{1,4})?\s*[-–—\])|]?\s*$"
+#: A page number in front of a header, set off by a sign.
+PAGE_BEFORE_HEADER = r"(?i)^\W*(?:p[ao0][gq9][ec]\s+)?[0-9OlISB|]{1,4}\s*(?:[|·–—]|-\s)\s*"
+#: Characters of the bands by which header lines meet; files in which a title may stand besides its own.
+BAND_CHARS, OTHER_FILES = 6, 2
 PAGE_IN_HEADER = r"(?i)\s+(?:p[ao0][gq9][ec]\s+)?[0-9OlISB|]{1,4}(?:\s+[oa0][ft]\s+[0-9OlISB|]{1,4}|/[0-9OlISB|]{1,4})?\s*$"
 ROMAN = (("i", 1), ("v", 5), ("x", 10), ("l", 50), ("c", 100))
 
@@ -84,27 +88,33 @@ def roman_sign(c: Column) -> Column:
     return out
 
 
-def edges(pages: DataFrame) -> DataFrame:
-    """Of the two first and two last lines of each page that are not blank, those that may be a page number (short) or
-    hold a code (four digits, or letters for them, in a row): ``doc_id``, ``page``, ``line_no``, ``line``, ``outer`` (it is
-    the first or the last), ``above`` (it is the first)."""
-    schema = T.StructType([pages.schema["doc_id"], pages.schema["page"], T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType()), T.StructField("outer", T.BooleanType()), T.StructField("above", T.BooleanType())])
+def page_pieces(pages: DataFrame) -> DataFrame:
+    """What one reading of the pages gives: ``doc_id``, ``page``, ``line_no``, ``line`` of the two first and two last lines of
+    each page that are not blank (``outer``: it is the first or the last; ``above``: it is among the first), and of each line
+    that ends inside a word, with the line after it (``following``, null for the edges)."""
+    flags = [T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType()), T.StructField("following", T.StringType()), T.StructField("outer", T.BooleanType()), T.StructField("above", T.BooleanType())]
+    schema = T.StructType([pages.schema["doc_id"], pages.schema["page"], *flags])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = re.compile(f"{D}{{4}}").search
+        broken = re.compile(rf"(?<=[^\W_]|[!|])[{HYPHENS}][ \t\r]*\n(?=[^\S\n]*(?:[^\W_]|[!|]))(?![^\S\n]*{NO_PIECE[3:-1]})").finditer
         for batch in batches:
-            rows, out = [], ([], [], [], [])
+            rows, out = [], ([], [], [], [], [])
+
+            def add(at: int, *values) -> None:
+                rows.append(at)  # noqa: B023
+                for column, value in zip(out, values, strict=True):  # noqa: B023
+                    column.append(value)
+
             for at, text in enumerate(batch.column(2).to_pylist()):
                 lines = text.split("\n")
                 first = ends_of(lines)
                 for n in dict.fromkeys(first[:2] + first[-2:]):
-                    line = lines[n].strip()
-                    if len(line) <= SHORT or code(line):
-                        rows.append(at)
-                        for column, value in zip(out, (n + 1, line, n in (first[0], first[-1]), n == first[0]), strict=True):
-                            column.append(value)
+                    add(at, n + 1, lines[n].strip(), None, n in (first[0], first[-1]), n == first[0])
+                for found in broken(text):
+                    n = text.count("\n", 0, found.start())
+                    add(at, n + 1, lines[n], lines[n + 1], None, None)
             at = pa.array(rows, pa.int64())
-            kinds = [pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
+            kinds = [pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=[f.name for f in schema])
 
     return pages.select("doc_id", "page", "text").mapInArrow(run, schema)
@@ -126,14 +136,34 @@ def ends_of(lines: list[str]) -> list[int]:
 
 
 def running_headers(edge: DataFrame, files: DataFrame) -> DataFrame:
-    """``doc_id``, ``page``, ``line_no`` of edge lines that hold their file's reference (the code that its file name
-    begins with) and stand, but for page number and misread characters, on three or more of its pages."""
-    code = F.regexp_extract("filename", r"^([A-Za-z]+[-_ ]?\d[\d_-]*\d)", 1)
-    refs = files.select(F.col("id").alias("doc_id"), line_skeleton(code).alias("ref")).where(F.length("ref") >= 5).distinct()
-    long_lines = edge.where(F.length("line") >= 8).withColumn("key", line_skeleton(F.regexp_replace("line", PAGE_IN_HEADER, "")))
-    own = cut(long_lines.join(refs, "doc_id").where(F.contains("key", "ref")).select("doc_id", "page", "line_no", "key"))
-    often = own.groupBy("doc_id", "key").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= HEADER_PAGES)
-    return own.join(often, ["doc_id", "key"], "left_semi").select("doc_id", "page", "line_no").distinct()
+    """``doc_id``, ``page``, ``line_no`` of edge lines that stand, but for page number and misread characters, on three or more
+    pages of their file, and are its title or reference: they hold the code or the words that its file name begins with,
+    or are, numbered headings aside, the first line of its first page or a line that hardly any other file has at its edges.
+
+    Lines are alike if their skeletons are, or differ by a tenth of their characters at most: candidates share the first
+    or the last characters with the most frequent line of their file that has them.
+    """
+    key = line_skeleton(F.regexp_replace(F.regexp_replace("line", PAGE_IN_HEADER, ""), PAGE_BEFORE_HEADER, ""))
+    numbered = F.col("line").rlike(r"^\d{1,2}(?:\.\d{1,2})*\.? +\p{L}")
+    own = edge.where(F.length("line") >= 8).select("doc_id", "page", "line_no", "above", numbered.alias("numbered"), key.alias("key")).where(F.length("key") >= 5)
+    ends = F.explode(F.array(F.concat(F.lit("<"), F.left("key", F.lit(BAND_CHARS))), F.concat(F.lit(">"), F.right("key", F.lit(BAND_CHARS))))).alias("band")
+    held = own.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.max(F.col("above") & (F.col("page") == 1)).alias("title"), F.max("numbered").alias("numbered")).select("*", ends)
+    # Repeated rows may raise these counts; the pages are counted exactly below.
+    heads = held.groupBy("doc_id", "band").agg(F.sum("n").alias("lines"), F.max_by("key", F.struct("n", "key")).alias("head")).where(F.col("lines") >= HEADER_PAGES)
+    near = F.levenshtein("key", "head") <= F.greatest(F.lit(1), F.floor(F.length("head") / 10))
+    alike = stored(held.join(heads, ["doc_id", "band"]).where(near).groupBy("doc_id", "key", "head").agg(F.max("title").alias("title")))
+    lines = own.join(alike, ["doc_id", "key"])
+    often = lines.groupBy("doc_id", "head").agg(F.count_distinct("page").alias("pages"), F.max("title").alias("title")).where(F.col("pages") >= HEADER_PAGES)
+    # All files count that have the line at an edge, repeated or not: a section's heading may stand at edges by chance.
+    elsewhere = held.where(F.col("band").startswith("<")).join(often.select(F.col("head").alias("key")).distinct(), "key").groupBy(F.col("key").alias("head")).agg(F.count("*").alias("files"), F.max("numbered").alias("numbered"))
+    stem = F.regexp_replace("filename", r"\.[^.]+$", "")
+    named = files.select(F.col("id").alias("doc_id"), line_skeleton(F.regexp_extract("filename", r"^([A-Za-z]+[-_ ]?\d[\d_-]*\d)", 1)).alias("ref"), line_skeleton(stem).alias("stem")).distinct()
+    named = named.groupBy("doc_id").agg(F.collect_set("ref").alias("refs"), F.collect_set("stem").alias("stems"))
+    told = often.join(elsewhere, "head").join(named, "doc_id", "left")
+    holds = lambda names: F.coalesce(F.exists(names, lambda r: (F.length(r) >= 4) & F.contains("head", r)), F.lit(False))
+    titled = holds("refs") | holds("stems") | (~F.col("numbered") & (F.coalesce("title", F.lit(False)) | (F.col("files") <= OTHER_FILES)))
+    real = told.where(titled).select("doc_id", "head")
+    return lines.join(real, ["doc_id", "head"], "left_semi").select("doc_id", "page", "line_no").distinct()
 
 
 def page_numbers(edge: DataFrame) -> DataFrame:
@@ -146,7 +176,7 @@ def page_numbers(edge: DataFrame) -> DataFrame:
     number = F.when(is_roman, roman(token)).otherwise(F.expr("try_cast(translate(token, 'OlISB|', '011581') as int)"))
     seen = likely.withColumn("token", token).withColumn("number", number).where("number is not null and number > 0")
     named = F.col("line").rlike(r"(?i)^\W*(?:p[ao0][gq9][ec]|p\.|seite|blatt|página|sheet)|^[-–—\[(].*[-–—\])]$|[ /]")
-    seen = cut(seen.select("doc_id", "page", "line_no", "outer", "above", named.alias("named"), (F.col("number") - F.col("page")).alias("shift")))
+    seen = stored(seen.select("doc_id", "page", "line_no", "outer", "above", named.alias("named"), (F.col("number") - F.col("page")).alias("shift")))
     support = seen.groupBy("doc_id", "above", "shift").agg(F.count_distinct("page").alias("pages"))
     lone = seen.groupBy("doc_id").agg(F.count_distinct("page").alias("numbered"))
     judged = seen.join(support, ["doc_id", "above", "shift"]).join(lone, "doc_id")
@@ -155,16 +185,6 @@ def page_numbers(edge: DataFrame) -> DataFrame:
     return judged.where(at_edge | (~F.col("outer") & (F.col("pages") >= 3) & F.col("named"))).select("doc_id", "page", "line_no").distinct()
 
 
-def broken_lines(pages: DataFrame) -> DataFrame:
-    """``doc_id``, ``page``, ``line_no``, ``line``, ``following`` of each line that ends inside a word."""
-    a = F.split("text", "\n")
-    some = pages.where(F.col("text").rlike(rf"[{HYPHENS}][ \t\r]*\n"))
-    pair = F.arrays_zip(a.alias("line"), F.slice(a, F.lit(2), F.size(a)).alias("following"))
-    rows = some.select("doc_id", "page", F.posexplode(pair).alias("at", "x")).select("doc_id", "page", (F.col("at") + 1).alias("line_no"), "x.line", "x.following")
-    goes_on = F.col("following").rlike(rf"^\s*(?=[\p{{L}}\p{{N}}!|]){NO_PIECE}")
-    return rows.where(F.rtrim(F.translate("line", "\t\r", "  ")).rlike(rf"[\p{{L}}\p{{N}}!|][{HYPHENS}]$") & goes_on)
-
-
 def bare(word: Column) -> Column:
     """A word without the punctuation around it; | and ! may be misread letters and stay inside and in front."""
     return F.regexp_replace(word, r"^[^\p{L}\p{N}!|]+|[^\p{L}\p{N}|]+$", "")
@@ -335,7 +355,7 @@ def misread(pages: DataFrame, raw: DataFrame, fixes: DataFrame) -> DataFrame:
     their form, before the rest meet the corrections."""
     by_word = raw.drop("repaired").join(fixes, "word").select("token", F.col("word").alias("found"), "repaired")
     by_form = raw.where("repaired is not null").select("token", F.regexp_replace("token", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("found"), "repaired")
-    wrong = cut(by_word.unionByName(by_form))
+    wrong = stored(by_word.unionByName(by_form))
     right = raw.orderBy(F.desc("n"), "token").limit(FREQUENT_WORDS).select("token").join(wrong.select("token"), "token", "left_anti")
     frequent = {r["token"] for r in right.collect()}
     return rare_tokens(pages, frequent).join(wrong, "token").select("doc_id", "page", "line_no", "found", "repaired")
@@ -378,20 +398,21 @@ def findings(pages: DataFrame, files: DataFrame) -> DataFrame:
 
     ``hyphenated``, ``misread``, ``running_header``, ``page_number``; within lines of the last two nothing else counts.
     ``scanned`` and ``mean_conf`` are not looked at. Null and blank texts have no defects; repeated rows count once;
-    pages of unregistered files have no running headers; pages of any length are taken whole; other columns are ignored.
+    headers of unregistered files are known by their title alone; pages of any length are taken whole; other columns are ignored.
     """
     pages = pages.select("doc_id", "page", "text").where(F.col("text").isNotNull())
-    edge = cut(edges(pages))
+    pieces = stored(page_pieces(pages))
+    edge = pieces.where("following is null")
     headers, numbers = running_headers(edge, files), page_numbers(edge)
     aside = headers.withColumn("defect", F.lit("running_header")).unionByName(numbers.withColumn("defect", F.lit("page_number")))
-    aside = cut(aside.groupBy("doc_id", "page", "line_no").agg(F.max("defect").alias("defect")))
+    aside = stored(aside.groupBy("doc_id", "page", "line_no").agg(F.max("defect").alias("defect")))
     # The distinct spellings, a small part of the text, are cut: all that follows asks them several times.
-    raw = cut(spellings(token_counts(pages)))
+    raw = stored(spellings(token_counts(pages)))
     vocab = vocabulary(raw)
     fixes, right = corrections(vocab, candidates(vocab))
-    fixes, right = cut(fixes), cut(right)
+    fixes, right = stored(fixes), stored(right)
     wrong = misread(pages, raw, fixes).withColumn("defect", F.lit("misread"))
-    broken = broken_words(broken_lines(pages), right).select("doc_id", "page", "line_no", F.lit("hyphenated").alias("defect"), F.lit(None).cast("string").alias("found"), "repaired")
+    broken = broken_words(pieces.where("following is not null"), right).select("doc_id", "page", "line_no", F.lit("hyphenated").alias("defect"), F.lit(None).cast("string").alias("found"), "repaired")
     inside = wrong.select("doc_id", "page", "line_no", "defect", "found", "repaired").unionByName(broken)
     inside = inside.join(aside.select("doc_id", "page", "line_no"), ["doc_id", "page", "line_no"], "left_anti")
     outside = aside.select("doc_id", "page", "line_no", "defect", F.lit(None).cast("string").alias("found"), F.lit("").alias("repaired"))

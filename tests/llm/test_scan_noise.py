@@ -57,7 +57,24 @@ def test_repaired_pages_are_paragraphs(spark):
 def test_empty_tables(spark):
     pages, files = corpus(spark)
     assert s.findings(pages.where("false"), files).count() == 0
-    assert {r["defect"] for r in s.findings(pages, files.where("false")).collect()} == {"hyphenated", "misread", "page_number"}
+    assert {r["defect"] for r in s.findings(pages, files.where("false")).collect()} == {"hyphenated", "misread", "page_number", "running_header"}
+
+
+def test_headers_by_repetition_of_a_title(spark):
+    """Titles alone, short references, page numbers in front, a lost character: on three pages or more; not notices of many
+    files, lines on two pages, or lines inside a page."""
+    body = "The first line of this page {}\nand its second one here {}\nthe third of them {}\nthe last but one {}\n{}"
+    rows = []
+    for f in range(8):
+        for p in range(1, 6):
+            words = ["abcdefgh"[f] * 3 + "klmno"[p - 1] * 3 + x for x in ("ma", "ne", "ti", "so")]
+            head = {0: "Quarterly pump survey", 1: "XQ-12 Quarterly survey of pumps", 2: f"{p} | Notes on the vessel inspection", 3: "Annual valve overview" if p != 2 else "Annual vave overview"}.get(f)
+            rows.append((f"d{f}", p, (head + "\n" if head and (f != 1 or p < 4) else "") + body.format(*words, f"Uncontrolled when printed, page {p}" if f > 3 and p > 1 else f"closing words of {words[0]}")))
+    pages = spark.createDataFrame(rows, "doc_id string, page int, text string")
+    files = spark.createDataFrame([("d0", "scan0001.pdf"), ("d1", "XQ-12-survey.pdf"), ("d2", "b.pdf"), ("d3", None)], "id string, filename string")
+    found = s.running_headers(s.page_pieces(pages).where("following is null"), files)
+    got = {(r["doc_id"], r["page"], r["line_no"]) for r in found.collect()}
+    assert got == {(f"d{f}", p, 1) for f in (0, 2, 3) for p in range(1, 6)} | {("d1", p, 1) for p in range(1, 4)}
 
 
 @pytest.mark.parametrize(("right", "seen", "steps"), [("line", "1ine", 1), ("head", "heacl", 1), ("head", "heac1", 2), ("burner", "bumer", 1), ("the", "tile", None), ("on", "an", None), ("an", "on", 1), ("same", "same", 0), ("", "", 0)])
