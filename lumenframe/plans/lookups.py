@@ -13,11 +13,18 @@ from lumenframe.operators import blocks as bx
 from lumenframe.operators import evaluate, events, fusion, layout, routing, store
 from lumenframe.queries import CALLS, CELLS, EDGES, HYBRID, ONCE, ORACLES, ORDER, RUNS, STEPS, asked, bench_once, capable_models, corpus, corpus_index, page_cells, query, query_vectors, session_steps, vectors
 from lumenframe.session import ensure_checkpoint_dir, table
-from lumenframe.sources import sinks
+from lumenframe.sources import readers, sinks
+from lumenframe.streaming import sessions as streams
 
 STOPS = ", ".join(f"'{r}'" for r in fx.STOP_REASONS)
 
 
+#: Messages as the stream reads them, repeated rows included.
+STEPS_ALL = """steps AS (SELECT coalesce(length(content), 0) AS chars, CASE WHEN ts >= 100000000000 THEN ts // 1000 ELSE ts END AS sec,
+    CASE WHEN lower(trim(role)) IN ('user', 'human') THEN 'user' WHEN lower(trim(role)) IN ('assistant', 'ai', 'bot') THEN 'assistant' WHEN lower(trim(role)) IN ('tool', 'function') THEN 'tool' WHEN lower(trim(role)) = 'system' THEN 'system' ELSE 'unknown' END AS speaker
+    FROM messages WHERE session_id IS NOT NULL)"""
+
+
 # --- Texts -----------------------------------------------------------------------------------------------------------
 
 
@@ -319,3 +326,23 @@ def prompt_routing_accuracy(spark, d):
     model = routing.fit(parts.where("not held_out"), "prompt", "task_type", "session_id")
     told = routing.classify(model, parts.where("held_out"), "task_type")
     return told.groupBy("task_type").agg(F.count("*").alias("n"), F.round(F.avg((F.col("predicted") == F.col("task_type")).cast("double")), 4).alias("accuracy"), F.round(F.avg("confidence"), 4).alias("confidence"))
+
+
+# --- Streams and lines -----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {STEPS_ALL} SELECT time_bucket(INTERVAL 1 HOUR, CAST(make_timestamp(sec * 1000000) AS TIMESTAMP)) AS hour, speaker, count(*) AS steps, sum(chars) AS chars FROM steps GROUP BY 1, 2")
+def hourly_stream(spark, d):
+    """Steps an hour and speaker of the messages read as a stream; no row is late for so long a watermark."""
+    path = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    counts = streams.hourly(streams.read_messages(spark, f"{d}/messages.parquet"), late="20000 days").select(F.col("hour.start").cast("timestamp_ntz").alias("hour"), "speaker", "steps", "chars")
+    return streams.drained(counts, path, keys=("hour", "speaker"))
+
+
+@query("""WITH o AS (SELECT DISTINCT rec_id, kind, prompt FROM redteam_results WHERE kind IS NOT NULL) SELECT kind, count(*) AS cases, sum(length(prompt)) AS chars FROM o GROUP BY 1""")
+def replayed_lines(spark, d):
+    """Cases written as JSON lines and read again by a stated schema."""
+    path = f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    sinks.write_json(table(spark, d, "redteam_results").select("rec_id", "kind", "prompt").distinct(), path)
+    rows = readers.json_lines(spark, path, "rec_id long, kind string, prompt string", needed="kind")
+    return rows.groupBy("kind").agg(F.count("*").alias("cases"), F.sum(F.length("prompt")).alias("chars"))

@@ -400,3 +400,23 @@ def test_folder_is_read_by_suffix(spark, tmp_path):
 def test_columns_by_start_edge(spark):
     row = spark.range(1).select(*(layout.column_of(F.array(F.lit(0.0), F.lit(100.0)), F.lit(x)).alias(n) for n, x in (("a", 5.0), ("b", 98.5), ("c", 300.0), ("d", -9.0))), layout.column_of(F.array(F.lit(50.0)), F.lit(99.0)).alias("e")).first()
     assert tuple(row) == (0, 1, 1, 0, 0)
+
+
+def test_registry_and_signatures(spark):
+    rows = readers.registry(spark, [{"id": "a"}, {"id": "b", "ctx": 9}], {"id": "", "ctx": 1}).orderBy("id").collect()
+    assert [(r["id"], r["ctx"]) for r in rows] == [("a", 1), ("b", 9)]
+    df = spark.createDataFrame([({"b": "2", "a": "1"},), ({"a": "1", "b": "2"},)], "m map<string,string>")
+    assert {r[0] for r in df.select(text_fx.canonical_json(F.col("m"))).collect()} == {'{"a":"1","b":"2"}'}
+
+
+def test_sheets_are_found_by_their_relationship():
+    import io
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="B" sheetId="2" r:id="r2"/><sheet name="A" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet7.xml"/></Relationships>')
+        for number, value in ((1, "one"), (7, "seven")):
+            z.writestr(f"xl/worksheets/sheet{number}.xml", f'<worksheet xmlns="{main}"><sheetData><row><c r="A1"><is><t>{value}</t></is></c></row></sheetData></worksheet>')
+    assert readers.sheet_rows(held.getvalue()) == [("B", 0, ["seven"]), ("A", 0, ["one"])]
