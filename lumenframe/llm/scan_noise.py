@@ -135,6 +135,18 @@ def ends_of(lines: list[str]) -> list[int]:
     return sorted({*two(range(len(lines))), *two(range(len(lines) - 1, -1, -1))})
 
 
+def keyed(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with the ``key`` of each edge line, and ``numbered``: it looks like a numbered heading."""
+    numbered = F.col("line").rlike(r"^\d{1,2}(?:\.\d{1,2})*\.? +\p{L}")
+    return pieces.withColumn("key", F.when(F.col("following").isNull(), header_key(F.col("line")))).withColumn("numbered", numbered)
+
+
+def header_key(line: Column) -> Column:
+    """What is left of a header's line without its page number and misreadings; null for a line too short to be one."""
+    bare_line = F.regexp_replace(F.regexp_replace(line, PAGE_IN_HEADER, ""), PAGE_BEFORE_HEADER, "")
+    return F.when(F.length(line) >= 8, line_skeleton(bare_line))
+
+
 def running_headers(edge: DataFrame, files: DataFrame) -> DataFrame:
     """``doc_id``, ``page``, ``line_no`` of edge lines that stand, but for page number and misread characters, on three or more
     pages of their file, and are its title or reference: they hold the code or the words that its file name begins with,
@@ -143,19 +155,21 @@ def running_headers(edge: DataFrame, files: DataFrame) -> DataFrame:
     Lines are alike if their skeletons are, or differ by a tenth of their characters at most: candidates share the first
     or the last characters with the most frequent line of their file that has them.
     """
-    key = line_skeleton(F.regexp_replace(F.regexp_replace("line", PAGE_IN_HEADER, ""), PAGE_BEFORE_HEADER, ""))
-    numbered = F.col("line").rlike(r"^\d{1,2}(?:\.\d{1,2})*\.? +\p{L}")
-    own = edge.where(F.length("line") >= 8).select("doc_id", "page", "line_no", "above", numbered.alias("numbered"), key.alias("key")).where(F.length("key") >= 5)
-    ends = F.explode(F.array(F.concat(F.lit("<"), F.left("key", F.lit(BAND_CHARS))), F.concat(F.lit(">"), F.right("key", F.lit(BAND_CHARS))))).alias("band")
-    held = own.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.max(F.col("above") & (F.col("page") == 1)).alias("title"), F.max("numbered").alias("numbered")).select("*", ends)
-    # Repeated rows may raise these counts; the pages are counted exactly below.
-    heads = held.groupBy("doc_id", "band").agg(F.sum("n").alias("lines"), F.max_by("key", F.struct("n", "key")).alias("head")).where(F.col("lines") >= HEADER_PAGES)
+    own = edge.where(F.length("key") >= 5).withColumn("title", F.col("above") & (F.col("page") == 1))
+    ends = F.explode(F.array(F.xxhash64("doc_id", F.left("key", F.lit(BAND_CHARS))), F.xxhash64("doc_id", F.right("key", F.lit(BAND_CHARS)), F.lit(1)))).alias("band")
+    # Most bands hold a line or two: only those of three lines or more go on. Repeated rows may raise these counts; the
+    # pages are counted exactly below.
+    full = own.select(ends).groupBy("band").agg(F.count("*").alias("lines")).where(F.col("lines") >= HEADER_PAGES).select("band")
+    held = own.select("doc_id", "key", "title", "numbered", ends).join(full, "band", "left_semi")
+    held = stored(held.groupBy("band", "doc_id", "key").agg(F.count("*").alias("n"), F.max("title").alias("title"), F.max("numbered").alias("numbered")))
+    heads = held.groupBy("band").agg(F.max_by("key", F.struct("n", "key")).alias("head"))
     near = F.levenshtein("key", "head") <= F.greatest(F.lit(1), F.floor(F.length("head") / 10))
-    alike = stored(held.join(heads, ["doc_id", "band"]).where(near).groupBy("doc_id", "key", "head").agg(F.max("title").alias("title")))
-    lines = own.join(alike, ["doc_id", "key"])
-    often = lines.groupBy("doc_id", "head").agg(F.count_distinct("page").alias("pages"), F.max("title").alias("title")).where(F.col("pages") >= HEADER_PAGES)
+    alike = held.join(heads, "band").where(near).groupBy("doc_id", "key", "head").agg(F.max("title").alias("title"), F.max("numbered").alias("numbered"))
+    lines = stored(own.drop("title", "numbered").join(alike, ["doc_id", "key"]).select("doc_id", "page", "line_no", "head", "title", "numbered"))
+    often = lines.groupBy("doc_id", "head").agg(F.count_distinct("page").alias("pages"), F.max("title").alias("title"), F.max("numbered").alias("numbered")).where(F.col("pages") >= HEADER_PAGES)
     # All files count that have the line at an edge, repeated or not: a section's heading may stand at edges by chance.
-    elsewhere = held.where(F.col("band").startswith("<")).join(often.select(F.col("head").alias("key")).distinct(), "key").groupBy(F.col("key").alias("head")).agg(F.count("*").alias("files"), F.max("numbered").alias("numbered"))
+    often = stored(often)
+    elsewhere = own.select("doc_id", F.col("key").alias("head")).join(often.select("head").distinct(), "head").groupBy("head").agg(F.count_distinct("doc_id").alias("files"))
     stem = F.regexp_replace("filename", r"\.[^.]+$", "")
     named = files.select(F.col("id").alias("doc_id"), line_skeleton(F.regexp_extract("filename", r"^([A-Za-z]+[-_ ]?\d[\d_-]*\d)", 1)).alias("ref"), line_skeleton(stem).alias("stem")).distinct()
     named = named.groupBy("doc_id").agg(F.collect_set("ref").alias("refs"), F.collect_set("stem").alias("stems"))
@@ -401,7 +415,7 @@ def findings(pages: DataFrame, files: DataFrame) -> DataFrame:
     headers of unregistered files are known by their title alone; pages of any length are taken whole; other columns are ignored.
     """
     pages = pages.select("doc_id", "page", "text").where(F.col("text").isNotNull())
-    pieces = stored(page_pieces(pages))
+    pieces = stored(keyed(page_pieces(pages)))
     edge = pieces.where("following is null")
     headers, numbers = running_headers(edge, files), page_numbers(edge)
     aside = headers.withColumn("defect", F.lit("running_header")).unionByName(numbers.withColumn("defect", F.lit("page_number")))

@@ -72,7 +72,7 @@ def test_headers_by_repetition_of_a_title(spark):
             rows.append((f"d{f}", p, (head + "\n" if head and (f != 1 or p < 4) else "") + body.format(*words, f"Uncontrolled when printed, page {p}" if f > 3 and p > 1 else f"closing words of {words[0]}")))
     pages = spark.createDataFrame(rows, "doc_id string, page int, text string")
     files = spark.createDataFrame([("d0", "scan0001.pdf"), ("d1", "XQ-12-survey.pdf"), ("d2", "b.pdf"), ("d3", None)], "id string, filename string")
-    found = s.running_headers(s.page_pieces(pages).where("following is null"), files)
+    found = s.running_headers(s.keyed(s.page_pieces(pages)).where("following is null"), files)
     got = {(r["doc_id"], r["page"], r["line_no"]) for r in found.collect()}
     assert got == {(f"d{f}", p, 1) for f in (0, 2, 3) for p in range(1, 6)} | {("d1", p, 1) for p in range(1, 4)}
 
