@@ -13,7 +13,7 @@ from lumenframe.functions import text as fx
 from lumenframe.session import ensure_checkpoint_dir
 
 #: Buckets of tokens that an index is partitioned by; a search reads the buckets of its tokens. Large corpora take more.
-BUCKETS = 32
+BUCKETS = 8
 
 
 def bucket(buckets: int):
@@ -23,7 +23,7 @@ def bucket(buckets: int):
 def postings(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``id``, ``tok``, ``tf`` (how often the token stands in the text), ``dl`` (tokens of the text)."""
     tokens = fx.tokenize(F.col(text_col))
-    texts = corpus.select(F.col(id_col).alias("id"), tokens.alias("tokens")).where("id is not null and tokens is not null")
+    texts = corpus.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), tokens.alias("tokens"))
     return texts.select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("tok")).groupBy("id", "dl", "tok").agg(F.count("*").alias("tf"))
 
 
