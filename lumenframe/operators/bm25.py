@@ -14,6 +14,8 @@ from lumenframe.session import ensure_checkpoint_dir
 
 #: Buckets of tokens that an index is partitioned by; a search reads the buckets of its tokens. Large corpora take more.
 BUCKETS = 8
+#: Columns of an index, but for the id of postings.
+POSTING, TERM = "dl long, tok string, tf long, bucket int", "tok string, df long, uses long, idf double, bucket int"
 
 
 def bucket(buckets: int):
@@ -38,7 +40,9 @@ def build(corpus: DataFrame, path: str, id_col: str = "id", text_col: str = "tex
     pieces = F.pmod(F.xxhash64("id"), F.lit(4))
     posts = postings(corpus, id_col, text_col).select("*", bucket(buckets))
     posts.repartition("bucket", pieces).sortWithinPartitions("bucket", "tok").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    posts = spark.read.parquet(f"{path}/postings")
+    # Schemas are stated, as the index of an empty corpus has no files to infer them from.
+    kinds = f"id {corpus.schema[id_col].dataType.simpleString()}, {POSTING}"
+    posts = spark.read.schema(kinds).parquet(f"{path}/postings")
     n = corpus.agg(F.count("*").alias("n_docs"))
     # One-row sides.
     stats = posts.groupBy("tok", "bucket").agg(F.count("*").alias("df"), F.sum("tf").alias("uses")).join(F.broadcast(n))
@@ -46,8 +50,8 @@ def build(corpus: DataFrame, path: str, id_col: str = "id", text_col: str = "tex
     mean = stats.agg(F.avg("raw").alias("mean"))
     terms = stats.join(F.broadcast(mean)).select("tok", "bucket", "df", "uses", F.when(F.col("raw") < 0, LIMITS.bm25_epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     terms.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    uses = spark.read.parquet(f"{path}/terms").agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("uses"))
-    sizes = uses.join(F.broadcast(n)).select("n_docs", F.try_divide("uses", "n_docs").alias("avgdl"), F.lit(buckets).alias("buckets"))
+    uses = spark.read.schema(TERM).parquet(f"{path}/terms").agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("uses"))
+    sizes = uses.join(F.broadcast(n)).select("n_docs", F.try_divide("uses", "n_docs").alias("avgdl"), F.lit(buckets).alias("buckets"), F.lit(corpus.schema[id_col].dataType.simpleString()).alias("id_type"))
     sizes.coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
     return path
 
@@ -74,7 +78,7 @@ def stored_sizes(spark: SparkSession, path: str):
 
 def terms(spark: SparkSession, path: str) -> DataFrame:
     """``tok``, ``df``, ``idf`` of an index."""
-    return spark.read.parquet(f"{path}/terms").select("tok", "df", "idf")
+    return spark.read.schema(TERM).parquet(f"{path}/terms").select("tok", "df", "idf")
 
 
 def rank(scored: DataFrame, by: str, limit: int, key: str = "query_id") -> DataFrame:
@@ -93,10 +97,11 @@ def search(spark: SparkSession, path: str, queries: DataFrame, limit: int = LIMI
     sizes = stored_sizes(spark, path)
     asked = queries.select("query_id", F.explode(fx.tokenize(F.col("text"))).alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("asked"))
     asked = asked.select("*", bucket(sizes["buckets"]))
-    wanted = spark.read.parquet(f"{path}/terms").join(asked, ["bucket", "tok"]).select("query_id", "tok", "bucket", (F.col("asked") * F.col("idf")).alias("weight"))
+    wanted = spark.read.schema(TERM).parquet(f"{path}/terms").join(asked, ["bucket", "tok"]).select("query_id", "tok", "bucket", (F.col("asked") * F.col("idf")).alias("weight"))
     k1, b = LIMITS.bm25_k1, LIMITS.bm25_b
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(sizes["avgdl"])))
-    scored = spark.read.parquet(f"{path}/postings").join(wanted, ["bucket", "tok"]).groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * part), 6).alias("score"))
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(sizes["avgdl"] or 1.0)))
+    posts = spark.read.schema(f"id {sizes['id_type']}, {POSTING}").parquet(f"{path}/postings")
+    scored = posts.join(wanted, ["bucket", "tok"]).groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * part), 6).alias("score"))
     return rank(scored, "score", limit).where(F.col("score") > 0)
 
 
