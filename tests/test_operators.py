@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import zipfile
 
 from pyspark.sql import Window
@@ -71,6 +72,35 @@ def test_bm25_exact_tag_wins_and_empty_corpus(spark):
     assert bm25.search_corpus(corpus.where("false"), asked).count() == 0
 
 
+def test_index_holds_a_row_a_token_and_segments_rank_as_the_whole(spark, tmp_path):
+    words = ["set", "pump", "valve", "line", "tag-7", "flare", "header"]
+    texts = [(f"c{i:04}", " ".join(words[(i * k) % 7] for k in range(1, 2 + i % 6))) for i in range(600)] + [("c0003", "pump again")]
+    corpus = spark.createDataFrame(texts, "id string, text string")
+    asked = spark.createDataFrame([(1, "pump tag-7"), (2, "set set flare"), (None, "header")], "query_id long, text string")
+    found = []
+    for chars in (10**9, 500):
+        path = bm25.build(corpus, str(tmp_path / str(chars)), segment_chars=chars)
+        posts = spark.read.parquet(f"{path}/postings")
+        # Not a row a token and text.
+        assert posts.count() <= posts.select("segment").distinct().count() * 11
+        found.append(sorted(map(str, bm25.search(spark, path, asked, limit=20).collect())))
+    assert found[0] == found[1] and len(found[0]) == 60
+
+    # By hand, over whole rows.
+    tokens = {}
+    for i, t in texts:
+        tokens.setdefault(i, []).extend(w for w in t.split() for w in ([w, "tag"] if w == "tag-7" else [w]))
+    mean, hits = sum(map(len, tokens.values())) / len(texts), []
+    for q, terms in ((1, ["pump", "tag-7", "tag"]), (2, ["set", "set", "flare"]), (None, ["header"])):
+        df = {w: sum(w in t for t in tokens.values()) for t in tokens.values() for w in t}
+        raw = {w: math.log(len(texts) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+        idf = {w: v if v >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, v in raw.items()}
+        score = {i: round(sum(idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in terms), 6) for i, t in tokens.items()}
+        hits += [(q, i, rank + 1) for rank, i in enumerate(sorted((i for i in score if score[i] > 0), key=lambda i: (-score[i], i))[:20])]
+    ours = [(r["query_id"], r["id"], r["rank"]) for r in bm25.search(spark, path, asked, limit=20).collect()]
+    assert sorted(ours, key=str) == sorted(hits, key=str)
+
+
 def test_stored_index_is_kept_until_the_corpus_changes(spark, tmp_path):
     spark.createDataFrame([("a", "PSV-2103 set pressure"), ("b", "other words")], "id string, text string").coalesce(1).write.parquet(str(tmp_path / "c"))
     read = lambda: spark.read.parquet(str(tmp_path / "c"))
