@@ -52,6 +52,19 @@ def test_near_duplicates_collapse_and_notices_stay(spark):
     assert got == {(d, 1) for d, _ in texts}
 
 
+def test_copies_take_over_the_lines_of_one_file(spark, monkeypatch):
+    files = spark.createDataFrame([(f"d{i}", "ab"[i // 6] if i < 12 else None, None) for i in range(18)] + [("d0", "b", 5)], "id string, source string, ingested_at long")
+    pages = spark.createDataFrame([(f"d{i}", 1, f"The same five words here, issue {i}\nand one more line of its text") for i in range(18)], "doc_id string, page int, text string")
+    looked, cut = [], site_lines.stored
+    monkeypatch.setattr(site_lines, "stored", lambda df: looked.append(cut(df)) or looked[-1])
+    found = site_lines.boilerplate(pages, files, **site_lines.FILES)
+    assert sorted((r["doc_id"], r["line_no"]) for r in found.collect()) == sorted((f"d{i}", n) for i in range(18) for n in (1, 2))
+    # One file a source (or two, where it has the name in common) is looked through, and days are not counted where none are asked for.
+    assert {(r["source"], r["copy_of"]) for r in looked[1].collect()} == {("a", "d0"), ("b", "d0"), (None, "d12")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "copy_of" in plan and "unix_date" not in plan
+
+
 CHECKS = "Checks before start-up:\n- the pump for a leak\n- the list with the laboratory chemist"
 PAIRS = [
     ("empty", "q?", None), ("empty", "q?", " ​"), ("empty", None, "N/A"), ("empty", "q?", "```\n```"), ("empty", "q?", "..."),
