@@ -50,3 +50,13 @@ def test_templates_count_records_but_for_variables(spark):
     df = spark.createDataFrame([(i, f"The pump P-{i} was opened.\n404 not found") for i in range(5)], "doc_id long, text string")
     mined = {r["template"]: r["n"] for r in template_residue.templates(template_residue.records(df)).collect()}
     assert mined == {"the pump p-* was opened.": 5, "404 not found": 5}
+
+
+def test_records_of_a_leaf_become_one_template(spark):
+    texts = [f"Sorry, the page of the archive by {name} could not be found today" for name in ("anna", "bertram", "chi")] + ["The requested document could not be found in the archive.", "The requested document could now be read in the archive.", "Other text."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    mined = template_residue.templates(template_residue.records(df))
+    found = {r["mined"]: len(r["records"]) for r in template_residue.tree(mined).collect()}
+    assert found == {"sorry, the page of the archive by ******* could not be found today": 3, "the requested document could *** be ***** in the archive.": 2, "other text.": 0}
+    # The second template says nothing, so its records are told apart.
+    assert {r["doc_id"]: r["kind"] for r in template_residue.residue(df).collect()} == {0: "error_page", 1: "error_page", 2: "error_page", 3: "error_page"}
