@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from operator import eq
+from operator import and_, eq
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -224,18 +224,26 @@ def any_of(words: list[str]) -> str:
     return "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")"
 
 
+#: Two neighbouring words of the lists, sought word by word from the beginning. Filler has them: if no two known words were
+#: neighbours, at most (n + 1) / 2 of n words would be known, which is less than ``LOREM_SHARE`` of ``LOREM_WORDS`` or more.
+KNOWN = any_of([*LOREM, *KEYBOARD]) + r"(?!\p{L})"
+NEIGHBOURS = r"^[^\p{L}]*+(?:(?!" + KNOWN + r"[^\p{L}]++" + KNOWN + r")\p{L}++[^\p{L}]*+)*+\p{L}"
+
+
 def verdict(template: Column) -> Column:
     """error_page, script_notice, filler, or null."""
     text = template
     # Counts by patterns: arrays of words would be built anew for each use.
     words = F.regexp_count(text, F.lit(r"\p{L}++"))
     share = lambda known: F.regexp_count(text, F.lit(r"(?<!\p{L})" + any_of(known) + r"(?!\p{L})")) >= words * LOREM_SHARE
-    lorem = (words >= LOREM_WORDS) & (share(LOREM) | share(KEYBOARD))
-    same = text.rlike(r"^(\p{L}++)(?:[^\p{L}]++\1(?!\p{L})){2,}[^\p{L}]*$|^(?:x{3,}+(?:[^\p{L}]++|$)){3,}$")
+    # Each count makes an array of its matches, so only records are counted in which two neighbouring words are known.
+    lorem = text.rlike(NEIGHBOURS) & (words >= LOREM_WORDS) & (share(LOREM) | share(KEYBOARD))
+    same = text.rlike(r"^(?:(\p{L}++)(?:[^\p{L}]++\1(?!\p{L})){2,}[^\p{L}]*$|(?:x{3,}+(?:[^\p{L}]++|$)){3,}$)")
     matches = lambda patterns: text.rlike("^(?:" + "|".join(patterns) + ")")
-    # Other wordings: a short record that speaks to its reader of a failure, or of scripts that must run.
+    # Other wordings: a short record that speaks to its reader of a failure, or of scripts that must run. The first pattern goes before the count of words.
     short = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) < NOTICE_WORDS
-    every = lambda *patterns: reduce(lambda a, p: a & text.rlike(p.replace("'", "['’]")), patterns, short)
+    said = lambda pattern: text.rlike(pattern.replace("'", "['’]"))
+    every = lambda first, *others: reduce(and_, map(said, others), said(first) & short)
     return (
         F.when(matches(ERROR_PAGE), "error_page")
         .when(matches(SCRIPT_NOTICE) | (F.contains(text, F.lit("script")) & every(SCRIPTS, SCRIPT_READER, SCRIPT_STATE, SCRIPT_ASKS)), "script_notice")
